@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing
+from . import langid, license_scan, mixing, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs, names, model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "proportions")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,8 +40,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out_fold = langid.held_out(F.col("doc_id"), 4, 2)
+    lexicon, curve = toxicity.train(docs, labels.where(~out_fold))
+    out = toxicity.score(docs, lexicon, curve)
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return out.select("doc_id", out_fold.alias("held_out"), "score", predicted.alias("predicted"), "n_clauses")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op7_license_scan, op8_packing)}
+    return {f.__name__: f for f in (op3_langid, op4_mixing, op7_license_scan, op8_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
