@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, mixing, packing, toxicity
+from . import langid, license_scan, mixing, packing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_langid, op4_mixing, op7_license_scan, op8_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op3_langid, op4_mixing, op6_substring, op7_license_scan, op8_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.oracle(), "op7_license_scan": license_scan.oracle()}
+    return {"op4_mixing": mixing.oracle(), "op6_substring": substring.oracle(), "op7_license_scan": license_scan.oracle()}
