@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, mixing, packing, substring, toxicity
+from . import langid, license_scan, line_dedup, minhash, mixing, packing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     names, model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_langid, op4_mixing, op6_substring, op7_license_scan, op8_packing, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_minhash, op3_langid, op4_mixing, op6_substring, op7_license_scan, op8_packing, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
