@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, minhash, mixing, packing, substring, toxicity
+from . import ann, langid, license_scan, line_dedup, minhash, mixing, packing, pq_dedup, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_langid, op4_mixing, op6_substring, op7_license_scan, op8_packing, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ann, op2_minhash, op3_langid, op4_mixing, op5_pq_dedup, op6_substring, op7_license_scan, op8_packing, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
