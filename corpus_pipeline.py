@@ -1,13 +1,69 @@
-"""A corpus pipeline over `documents`."""
+"""A corpus pipeline over `documents`: language ID, line dedup, near-dedup, mixing and packing.
+
+Each stage takes all rows that the one before kept and returns the columns of `documents`, the last one the packed pieces.
+A row that the mix takes more than once is there more than once, under the same doc_id.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import langid, line_dedup, minhash, mixing, packing
+from marlstone.llm.common import checkpointed
+from marlstone.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose leading language has a smaller share of its words goes, as does one without a letter.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a leading language and sets lang to it."""
+    names, table = langid.train(docs)
+    carried = ("doc_id", "text", "source", "n_chars")
+    out = langid.identify(docs, names, table, carry=carried)
+    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return out.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes common blocks of lines from later documents; documents of which nothing is left go."""
+    out = line_dedup.remove_lines(docs)
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each class of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; the last repeat may be cut to its first words."""
+    rows = mixing.mix_sources(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
+    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, words.cast("int")), " ")
+    text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("minhash_near_dedup", near_dedup), ("mix_sources", mix), ("pack", pack)]
+
+#: Trained models, sketches and token ids have no SQL form; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
     return docs
