@@ -40,9 +40,9 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks the input is dealt into: in proportion to its bytes, at least one per shuffle partition."""
     spark = df.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A plan without file statistics reports a huge default size; such inputs use the partition count.
+    # A plan that does not start from files reports a huge default size; such inputs use the partition count.
     size = input_bytes(df)
-    return max(floor, 1) if size > 1 << 60 else max(floor, math.ceil(size / block_bytes))
+    return max(floor, 1) if size > 1 << 50 else max(floor, math.ceil(size / block_bytes))
 
 
 def doc_block(blocks: int, column: str = "doc_id"):
