@@ -9,18 +9,24 @@ scores become three features, and a logistic curve fitted to the labels turns th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Expected number of labelled training documents; a bounded sample, chosen by a hash of the id.
 TRAIN_DOCS = 24000
 #: Entries of the learned lexicon at most, and how long a word beginning can be.
 LEXICON = 6000
 SHORTEST, LONGEST = 3, 10
-#: An entry's log odds less twice its standard error has to be at least so much.
-LEAST_WEIGHT = 1.6
+#: An entry stands in so many training documents of different text at least, and most documents that have it are toxic: the lower Wilson
+#: bound of their share is at least LEAST_SHARE.
+LEAST_DOCS = 5
+LEAST_SHARE = 0.6
+Z = 1.64
 THRESHOLD = 0.3
 
 # Words of each class. Insults without labels weigh SEED_WEIGHT.
@@ -110,8 +116,6 @@ class Grammar:
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """(log of 1 + summed clause scores, largest clause score, number of clauses with a score)."""
-        import math
-
         if not text:
             return 0.0, 0.0, 0.0
         low = text.lower()
@@ -146,8 +150,31 @@ def entries(text: str) -> set:
     return out
 
 
-def learn_lexicon(labelled: DataFrame, most: int = LEXICON, least: float = LEAST_WEIGHT) -> dict:
-    """Entry -> weight from rows (text, y): log odds of the entry in toxic against other documents, less two standard errors.
+def text_key(text: str) -> int:
+    """A key that near-copies of a text share mostly: a hash of its two longer words of least hash."""
+    import re
+    from zlib import crc32
+
+    hashes = sorted({crc32(w.encode("utf-8", "replace")) for w in re.findall(r"[^\W\d_]{7,}", text.lower())})[:2]
+    return hash((tuple(hashes), 0 if hashes else crc32(text.encode("utf-8", "replace"))))
+
+
+def one_of_each(labelled: DataFrame) -> DataFrame:
+    """(text, y) with one row for each key of text, since a document that was copied often would make its words look telling."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = [text_key(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("y"), pa.array(keys, pa.int64())], names=["text", "y", "key"])
+
+    keyed = labelled.select("text", "y").mapInArrow(run, "text string, y int, key long")
+    return keyed.groupBy("y", "key").agg(F.min("text").alias("text")).select("text", "y")
+
+
+def learn_lexicon(labelled: DataFrame, most: int = LEXICON, least: float = LEAST_SHARE) -> dict:
+    """Entry -> weight from rows (text, y): the log odds of the Wilson bound of its toxic share, over those of all documents.
 
     At most `most` entries, the best first, ties by entry. Without labels of both kinds the seed list stands in.
     """
@@ -176,9 +203,12 @@ def learn_lexicon(labelled: DataFrame, most: int = LEXICON, least: float = LEAST
     if not totals.get(1) or not totals.get(0):
         return {w + "$": SEED_WEIGHT for w in INSULTS}
     sums = labelled.select("text", "y").mapInArrow(count, "entry string, yes long, no long").groupBy("entry").agg(F.sum("yes").alias("a"), F.sum("no").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("b") + 0.5) / (totals[0] + 1.0))
-    w = odds - 2.0 * F.sqrt(1.0 / (F.col("a") + 0.5) + 1.0 / (F.col("b") + 0.5))
-    top = sums.where("a >= 5").withColumn("w", w).where(F.col("w") >= least).orderBy(F.desc("w"), "entry").limit(most).collect()
+    n, share = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
+    spread = Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))
+    bound = (share + Z * Z / (2 * n) - spread) / (1 + Z * Z / n)
+    w = F.log(bound / (1 - bound)) - math.log(totals[1] / totals[0])
+    found = sums.where(F.col("a") >= LEAST_DOCS).withColumn("bound", bound).where((F.col("bound") >= least) & (F.col("bound") < 1)).withColumn("w", w).where("w > 0")
+    top = found.orderBy(F.desc("w"), "entry").limit(most).collect()
     return {r["entry"]: float(r["w"]) for r in top} or {w + "$": SEED_WEIGHT for w in INSULTS}
 
 
@@ -216,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS):
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     ids = rows.where(draw < (most_docs / total if total else 1.0))
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    sample = checkpointed(one_of_each(sample))
     lexicon = learn_lexicon(sample)
 
     def features(batches: Iterator) -> Iterator:
@@ -241,8 +272,6 @@ def score(docs: DataFrame, lexicon: dict, curve: list, carry: tuple = ("doc_id",
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator) -> Iterator:
-        import math
-
         import pyarrow as pa
 
         grammar = Grammar(model.value)
