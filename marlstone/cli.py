@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from .engine import Engine
 from .model import MarlstoneError
-from .plans.governance import identity_from_env, resolve_identity
+from .plans.governance import ApprovalQueue, identity_from_env, resolve_identity
 from .sources.sinks import to_csv, to_json, to_tsv, write
 
 SAMPLE = """sources:
@@ -65,6 +65,9 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("source")
     k.add_argument("--watch", type=float, help="seconds between checks")
     c.add_parser("detect-access-anomalies")
+    c.add_parser("submit", help="put a YAML change up for approval").add_argument("file")
+    c.add_parser("approvals", help="list changes that wait")
+    c.add_parser("approve", help="approve a change; prints it").add_argument("id")
     return p
 
 
@@ -84,6 +87,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if not (folder / name).exists():
                 (folder / name).write_text(text)
         return 0
+    if args.command in ("submit", "approvals", "approve"):
+        return _approvals(args)
     spark = spark or SparkSession.builder.appName("marlstone").getOrCreate()
     try:
         engine = Engine(spark, Path(args.config).read_text(), args.folder)
@@ -93,6 +98,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 3
 
 
+def _approvals(args) -> int:
+    import yaml
+
+    queue = ApprovalQueue(str(Path(args.folder or ".") / "approvals.json"))
+    try:
+        if args.command == "submit":
+            print(queue.submit(yaml.safe_load(Path(args.file).read_text()), args.user))
+        elif args.command == "approvals":
+            print(json.dumps(queue.pending(), indent=1))
+        else:
+            print(json.dumps(queue.approve(args.id, args.user), indent=1, default=str))
+    except (MarlstoneError, OSError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 3
+    return 0
+
+
 def _run(args, engine: Engine) -> int:
     c = engine.catalog
     if args.command == "sync":

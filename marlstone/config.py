@@ -181,7 +181,7 @@ def load(raw: dict | str, previous: Catalog | None = None, now: datetime | None
 
         raw = yaml.safe_load(raw) or {}
     kinds = {
-        "sources": lambda r: _record(M.Source, r, "source", {"columns": lambda cs: tuple(_record(M.Column, c, "column") for c in cs), "dimensions": lambda ds: tuple(_record(M.Dimension, d, "dimension") for d in ds)}),
+        "sources": lambda r: _record(M.Source, r, "source", {"type": lambda t: M.SOURCE_ALIASES.get(t, t), "columns": lambda cs: tuple(_record(M.Column, c, "column") for c in cs), "dimensions": lambda ds: tuple(_record(M.Dimension, d, "dimension") for d in ds)}),
         "metrics": _metric,
         "roles": lambda r: _record(M.Role, r, "role", {"attributes": dict}),
         "policies": lambda r: _record(M.Policy, r, "policy", {"valid_until": naive_utc}),

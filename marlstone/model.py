@@ -11,7 +11,9 @@ from typing import Any
 # Names that the catalogue, intents and the audit log use.
 SENSITIVITIES = ("public", "internal", "pii", "restricted", "unclassified")
 SENSITIVE = frozenset({"pii", "restricted"})
-SOURCE_TYPES = ("parquet", "csv", "table", "sql_view")
+SOURCE_TYPES = ("parquet", "csv", "json", "orc", "table", "sql_view", "jdbc")
+#: Other names of source types that a catalogue may use.
+SOURCE_ALIASES = {"duckdb_table": "table", "delta_table": "table", "view": "sql_view"}
 DIMENSION_TYPES = ("categorical", "temporal", "numeric_bin")
 GRAINS = ("year", "quarter", "month", "week", "day", "hour")
 PERIODS = ("year", "quarter", "month", "week", "day")
@@ -88,6 +90,7 @@ class Source:
     uri: str
     display_name: str = ""
     primary_grain: str | None = None
+    options: dict[str, str] = field(default_factory=dict)
     columns: tuple[Column, ...] = ()
     dimensions: tuple[Dimension, ...] = ()
 

@@ -231,15 +231,26 @@ def identity_from_jwt(catalog: Catalog, token: str, secret: bytes, now: float |
     return resolve_identity(catalog, claims["sub"], claims["role"], {k: str(v) for k, v in (claims.get("attributes") or {}).items()}, "jwt")
 
 
-@dataclass
 class ApprovalQueue:
-    """Changes that wait for someone else's yes. An approved change cannot be approved again."""
+    """Changes that wait for someone else's yes, kept in a JSON file if a path is given. None can be approved twice."""
 
-    entries: list[dict]
+    def __init__(self, path: str | None = None):
+        self.path = path
+        self.entries: list[dict] = []
+        if path and os.path.exists(path):
+            with open(path) as f:
+                self.entries = json.load(f)
+
+    def _save(self) -> None:
+        if self.path:
+            with open(f"{self.path}.new", "w") as f:
+                json.dump(self.entries, f, indent=1, default=str)
+            os.replace(f"{self.path}.new", self.path)
 
     def submit(self, change: dict, by: str) -> str:
         key = hashlib.sha256(json.dumps([change, by, len(self.entries)], sort_keys=True, default=str).encode()).hexdigest()[:16]
-        self.entries.append({"id": key, "change": change, "submitted_by": by, "submitted_at": utc_now(), "approved_by": None, "approved_at": None})
+        self.entries.append({"id": key, "change": change, "submitted_by": by, "submitted_at": utc_now().isoformat(), "approved_by": None, "approved_at": None})
+        self._save()
         return key
 
     def pending(self) -> list[dict]:
@@ -251,5 +262,6 @@ class ApprovalQueue:
             raise MarlstoneError(f"no change {key!r}")
         if entry["approved_by"] is not None:
             raise MarlstoneError(f"change {key!r} is approved already")
-        entry |= {"approved_by": by, "approved_at": utc_now()}
+        entry |= {"approved_by": by, "approved_at": utc_now().isoformat()}
+        self._save()
         return entry["change"]

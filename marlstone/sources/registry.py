@@ -29,10 +29,13 @@ class SourceRegistry:
 
     def load(self, source_id: str) -> DataFrame:
         s = self.source(source_id)
-        if s.type == "parquet":
-            return self.spark.read.parquet(s.uri)
+        if s.type == "jdbc":
+            # uri is the table; url, user, partitionColumn and the like are options.
+            return self.spark.read.format("jdbc").options(**s.options).option("dbtable", s.uri).load()
+        if s.type in ("parquet", "orc", "json"):
+            return self.spark.read.format(s.type).options(**s.options).load(s.uri)
         if s.type == "csv":
-            reader = self.spark.read.option("header", True)
+            reader = self.spark.read.option("header", True).options(**s.options)
             declared = self._csv_schema(s)
             return reader.schema(declared).csv(s.uri) if declared else reader.option("inferSchema", True).csv(s.uri)
         return self.spark.table(s.uri)
@@ -42,7 +45,7 @@ class SourceRegistry:
         if not s.columns:
             return None
         types = {c.name: spark_type(c.type) for c in s.columns}
-        header = self.spark.read.option("header", True).csv(s.uri).columns
+        header = self.spark.read.option("header", True).options(**s.options).csv(s.uri).columns
         if not all(types.get(h) for h in header):
             return None
         return ", ".join("`" + h.replace("`", "``") + "` " + types[h] for h in header)
@@ -50,7 +53,7 @@ class SourceRegistry:
     def version(self, source_id: str) -> str:
         """A token that changes when the data may have: the newest file's time and size, or the last touch of a table."""
         s = self.source(source_id)
-        if s.type in ("table", "sql_view"):
+        if s.type in ("table", "sql_view", "jdbc"):
             return self.tokens.get(source_id, "0")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(s.uri)
@@ -69,7 +72,7 @@ class SourceRegistry:
     def touch(self, source_id: str) -> str:
         """Says that a table's or view's data changed; files say so themselves."""
         s = self.source(source_id)
-        if s.type in ("table", "sql_view"):
+        if s.type in ("table", "sql_view", "jdbc"):
             self.tokens[source_id] = uuid.uuid4().hex
         return self.version(source_id)
 

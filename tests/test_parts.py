@@ -257,13 +257,27 @@ def test_identities():
     assert identity_from_env(c, env=env).attributes == {"region": "east"}
 
 
-def test_approvals():
-    q = ApprovalQueue([])
+def test_approvals(tmp_path, capsys):
+    q = ApprovalQueue(str(tmp_path / "approvals.json"))
     key = q.submit({"add": 1}, "a")
-    assert [e["id"] for e in q.pending()] == [key]
+    assert [e["id"] for e in ApprovalQueue(q.path).pending()] == [key]
     assert q.approve(key, "b") == {"add": 1} and q.pending() == []
     with pytest.raises(Exception, match="already"):
-        q.approve(key, "c")
+        ApprovalQueue(q.path).approve(key, "c")
+    (tmp_path / "change.yaml").write_text("metrics: []")
+    run = lambda *a: cli.main(["--folder", str(tmp_path), "--user", "d", *a])
+    assert run("submit", str(tmp_path / "change.yaml")) == 0
+    key = capsys.readouterr().out.strip()
+    assert run("approvals") == 0 and run("approve", key) == 0 and run("approve", key) == 3
+
+
+def test_file_sources(spark, tmp_path, orders):
+    for kind in ("json", "orc"):
+        path = str(tmp_path / kind)
+        orders.select("order_id", "amount").write.format(kind).save(path)
+        c = load({"sources": [{"id": "s", "type": kind, "uri": path}, {"id": "t", "type": "duckdb_table", "uri": "orders_fixture"}]})
+        registry = SourceRegistry(spark, c.sources)
+        assert registry.load("s").count() == len(ORDERS) and registry.load("t").count() == len(ORDERS)
 
 
 def test_outputs():
