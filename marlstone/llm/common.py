@@ -24,10 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Materialise in the shared folder and cut the lineage; survives lost executors.
+
+    The shuffle files that lead to the checkpoint are of no more use once it is written, so Spark is told to remove
+    them then, not when the driver happens to collect garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # A new DataFrame takes the setting; the one that was given may be older.
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def input_bytes(df: DataFrame) -> int:
