@@ -53,12 +53,16 @@ def asymmetric(residuals: np.ndarray, codes: np.ndarray, books: list[np.ndarray]
 
 def near_lists(x: np.ndarray, centroids: np.ndarray, reach: float):
     """(row, list) pairs: each row's own list, and those whose boundary with it is nearer than `reach`."""
-    d = ivf.square_distances(x, centroids)
-    own = d.argmin(axis=1)
     apart = np.sqrt(ivf.square_distances(centroids, centroids))
-    away = (d - d[np.arange(len(x)), own][:, None]) / (2.0 * np.maximum(apart[own], 1e-12))
-    away[np.arange(len(x)), own] = 0.0
-    return np.nonzero(away <= reach)
+    step, found = max(1, (1 << 21) // len(centroids)), []
+    for a in range(0, len(x), step):
+        d = ivf.square_distances(x[a : a + step], centroids)
+        own, each = d.argmin(axis=1), np.arange(len(d))
+        away = (d - d[each, own][:, None]) / (2.0 * np.maximum(apart[own], 1e-12))
+        away[each, own] = 0.0
+        i, j = np.nonzero(away <= reach)
+        found.append((a + i, j))
+    return (np.concatenate([f[k] for f in found]) for k in (0, 1)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
 def label(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
