@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 
 LENGTH = 1024
 SENTENCE_CUT = 2.0
-INNER_CUT = 24.0
+INNER_CUT = 12.0
 #: Where no sentence ends, a cut is considered every so many tokens.
-INNER_STEP = 64
+INNER_STEP = 32
 #: Tokens of consecutive whole documents that one run of the dynamic program sees (a longer document is seen whole).
 STREAM_TOKENS = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,18 +76,20 @@ def candidates(ids, doc_ends, ends, inner_step: int = INNER_STEP):
     """(positions, penalties) of the cuts considered in a stream, first 0 and last its length."""
     import numpy as np
 
-    n = len(ids)
-    cost = np.full(n + 1, np.inf)
-    sentence = np.flatnonzero(ends[ids]) + 1
-    cost[sentence] = SENTENCE_CUT
+    at_sentence = np.zeros(len(ids) + 1, dtype=bool)
+    at_sentence[1:] = ends[ids]
+    whole = at_sentence.copy()
+    whole[0] = whole[doc_ends] = True
+    marks = np.flatnonzero(whole)
+    cost = np.where(at_sentence[marks], SENTENCE_CUT, 0.0)
+    cost[np.searchsorted(marks, doc_ends)] = 0.0
     cost[0] = 0.0
-    cost[doc_ends] = 0.0
-    marks = np.flatnonzero(np.isfinite(cost))
-    last = marks[np.searchsorted(marks, np.arange(n + 1), side="right") - 1]
-    inner = ((np.arange(n + 1) - last) % inner_step == 0) & ~np.isfinite(cost)
-    cost[inner] = INNER_CUT
-    at = np.flatnonzero(np.isfinite(cost))
-    return at, cost[at]
+    times = (np.diff(marks) - 1) // inner_step
+    place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1
+    at = np.concatenate([marks, np.repeat(marks[:-1], times) + inner_step * place])
+    cost = np.concatenate([cost, np.full(len(place), INNER_CUT)])
+    order = np.argsort(at, kind="stable")
+    return at[order], cost[order]
 
 
 def best_cuts(at, cost, length: int = LENGTH) -> list[int]:
