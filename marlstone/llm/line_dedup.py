@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of their lines. A rare line (few documents have it) pairs each later document
-with every earlier one that has it; a line that more documents have pairs each later document with the earliest only,
-so a line that a third of the corpus shares costs one pair per document, and no shared line goes unpaired. Each pair is
+Overlapping documents are found through the hashes of their lines. A rare line (two or three documents have it) pairs each later
+document with every earlier one that has it; a line that more documents have pairs each later document with the earliest
+only, so a line that a third of the corpus shares costs one pair per document, and no shared line goes unpaired. Pairs of rare
+lines come from partial aggregates alone: with the count, least, greatest and sum of ids, the third id is known. Each pair is
 aligned by patience diff on line hashes: lines that occur once in either document and in both, in longest increasing
 order, anchor the alignment; gaps between anchors are aligned in the same way, and equal lines next to an anchor are added. Runs of
 aligned lines that are long enough are common blocks; they are deleted from the later document.
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import checkpointed
 
-#: A line in at most so many documents is rare.
-RARE = 4
+#: A line in at most so many documents is rare; aggregates name the documents of two or three.
+RARE = 3
 #: A common block has at least so many words, so that chance matches of short lines stay.
 LEAST_WORDS = 8
 
@@ -108,7 +109,7 @@ def _lines(text):
     return F.split(text, "\n")
 
 
-def lines_to_remove(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def lines_to_remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, gone): for documents that lose lines, the sorted numbers from 0 of the lines to delete.
 
     Lines are compared without white space at their ends; blank lines are neither compared nor counted.
@@ -121,12 +122,14 @@ def lines_to_remove(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_
     docs_lines = d.select("doc_id", packed.alias("lines")).where(F.size("lines") > 0)
     docs_lines = checkpointed(docs_lines.dropDuplicates(["doc_id"]))
     seen = docs_lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    stats = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    held = seen.join(stats, "h")
-    pairs = held.where(F.col("doc_id") > F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    few = held.where(F.col("df") <= rare).groupBy("h").agg(F.collect_list("doc_id").alias("ids"))
-    few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    pairs = pairs.unionByName(few).distinct()
+    wide = F.col("doc_id").cast("decimal(20,0)")
+    stats = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.sum(wide).alias("sum")).where("df > 1")
+    mid = (F.col("sum") - F.col("first") - F.col("last")).cast("long")
+    two = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
+    three = F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((F.col("first"), mid), (F.col("first"), F.col("last")), (mid, F.col("last")))])
+    rare = stats.where(F.col("df") <= RARE).select(F.explode(F.when(F.col("df") == 2, two).otherwise(three)).alias("p")).select("p.a", "p.b")
+    often = seen.join(stats.where(F.col("df") > RARE).select("h", "first"), "h").where(F.col("doc_id") > F.col("first"))
+    pairs = rare.unionByName(often.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).distinct()
     left = docs_lines.select(F.col("doc_id").alias("a"), F.transform("lines", lambda x: x["h"]).alias("ha"))
     right = docs_lines.select(F.col("doc_id").alias("b"), F.col("lines").alias("lb"))
     joined = pairs.join(left, "a").join(right, "b").select("b", "ha", "lb.h", "lb.n", "lb.w")
@@ -147,7 +150,7 @@ def lines_to_remove(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_
     return found.select("doc_id", F.explode("gone").alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("gone"))
 
 
-def remove_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with text lacking the lines in common blocks, and n_lines and n_removed, both numbers of lines.
 
     The later document of a pair is the one with the larger doc_id. Rows with a null doc_id or text come back unchanged; of rows
@@ -155,7 +158,7 @@ def remove_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     returned as it is; one that loses every line that is not blank keeps its blank lines. An empty table gives no rows.
     Columns of `docs` that are named n_lines or n_removed are replaced.
     """
-    gone = lines_to_remove(docs, rare, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("gone", "_gone")
+    gone = lines_to_remove(docs, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("gone", "_gone")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*own).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
