@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,15 @@ ORACLE: dict[str, str] = {}
 ALL = 10000
 
 
+_ENGINES: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark, catalog(sf_dir))
+    """The engine over a folder of test tables, one for each session."""
+    own = _ENGINES.setdefault(spark, {})
+    if sf_dir not in own:
+        own[sf_dir] = Engine(spark, catalog(sf_dir))
+    return own[sf_dir]
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -21,6 +21,7 @@ class SourceRegistry:
         self.spark = spark
         self.sources = sources
         self.tokens: dict[str, str] = {}
+        self._frames: dict[str, tuple] = {}
 
     def source(self, source_id: str) -> Source:
         if source_id not in self.sources:
@@ -28,7 +29,18 @@ class SourceRegistry:
         return self.sources[source_id]
 
     def load(self, source_id: str) -> DataFrame:
+        """The source as it is now. A file source's DataFrame is kept while its files stay the same, which saves reading their footers."""
         s = self.source(source_id)
+        if s.type in ("table", "sql_view", "jdbc"):
+            return self._read(s)
+        key = (s, self.version(source_id)) if not s.options else None
+        known = self._frames.get(source_id)
+        if key is None or known is None or known[0] != key:
+            known = (key, self._read(s))
+            self._frames[source_id] = known
+        return known[1]
+
+    def _read(self, s: Source) -> DataFrame:
         if s.type == "jdbc":
             # uri is the table; url, user, partitionColumn and the like are options.
             return self.spark.read.format("jdbc").options(**s.options).option("dbtable", s.uri).load()
