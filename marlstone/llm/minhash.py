@@ -38,6 +38,8 @@ _TABLE = 1 << 14
 SKETCH_CHARS = 1 << 19
 #: Partners of one document that are verified in one group.
 PARTNERS = 512
+#: If no more texts than this are needed, their ids are broadcast (a few MB) and only those texts are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def _draws():
@@ -181,7 +183,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, blocks: int, similarity: flo
     dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(blocks)).cast("int"))
     dealt = checkpointed(dealt.select("block", "a", "b"))
     needed = dealt.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = needed.join(docs, "doc_id").select("at", "doc_id", "text")
+    needed = checkpointed(needed)
+    few = needed.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("at", "doc_id", "text")
 
     def run(texts, pairs):
         import pandas as pd
