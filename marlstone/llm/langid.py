@@ -18,7 +18,8 @@ from .textvec import GROUP_CHARS, Words, groups
 BUCKETS = 1 << 16
 #: Expected number of training documents for each language; a bounded sample, chosen by a hash of the id.
 TRAIN_DOCS_PER_LANGUAGE = 2000
-MAX_LANGUAGES = 2000
+#: The model has the most frequent languages of the labels, at most so many; its table is 256 KB for each.
+MAX_LANGUAGES = 256
 MAX_IN_MIXTURE = 3
 ITERATIONS = 12
 PENALTY = 4.0
@@ -119,14 +120,13 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE, buckets:
     import numpy as np
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = sorted(found, key=lambda r: r["lang"])
     if not found:
         return [], np.zeros((buckets, 0), dtype=np.float32)
     names = [r["lang"] for r in found]
     pairs = [x for r in found for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))]
-    share = F.element_at(F.create_map(*pairs), F.col("lang"))
+    share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share).select("lang", "text")
     number = {name: i for i, name in enumerate(names)}
