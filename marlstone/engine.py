@@ -256,7 +256,7 @@ class Engine:
         reason = result.reason if result.status == "denied" or result.stage == "intent_invalid" else None
         self.audit.append(
             now=result.status != "ok",
-            query_id=query_id, user_id=identity.user_id, role_id=identity.role_id, nl_prompt=prompt,
+            query_id=query_id, user_id=identity.user_id, role_id=identity.role_id, nl_prompt=redaction.redact_prompt(prompt, text, sensitive),
             generated_sql=redact(text, sensitive), status=result.status, deny_reason=redact_reason(reason, text, redact, sensitive), row_count=len(result.rows) if result.status == "ok" else None,
             duration_ms=int((time.monotonic() - began) * 1000), created_at=self.clock(), is_break_glass=bool(role and role.is_break_glass), metric_versions=versions,
         )

@@ -84,3 +84,21 @@ def redact_intent(text: str, columns: frozenset[str]) -> str:
     if isinstance(intent.get("filters"), list):
         intent["filters"] = [clean(f) for f in intent["filters"]]
     return json.dumps(intent, sort_keys=True)
+
+
+def redact_prompt(prompt: str | None, intent_text: str, columns: frozenset[str]) -> str | None:
+    """A question without the values that its intent compares with sensitive columns."""
+    if not prompt or not columns:
+        return prompt
+    try:
+        work = list(json.loads(intent_text).get("filters") or [])
+    except (ValueError, AttributeError):
+        return REDACTED
+    while work:
+        node = work.pop()
+        work += node.get("args") or []
+        if node.get("column") in columns and node.get("value") is not None:
+            values = node["value"] if isinstance(node["value"], list) else [node["value"]]
+            for v in values:
+                prompt = re.sub(re.escape(str(v)), REDACTED, prompt, flags=re.IGNORECASE)
+    return prompt

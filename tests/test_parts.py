@@ -184,6 +184,8 @@ def test_redaction():
     out = redaction.redact_intent(intent, cols)
     assert '"x"' not in out and '"y"' in out
     assert redaction.redact_intent("not json", cols) == "<redacted>"
+    assert redaction.redact_prompt("revenue where email = 7 and b", '{"filters": [{"op": "eq", "column": "email", "value": 7}]}', cols) == "revenue where email = <redacted> and b"
+    assert redaction.redact_prompt("revenue", "{}", cols) == "revenue"
 
 
 def test_anomaly_judgement():
