@@ -40,7 +40,7 @@ def groups(texts: list, limit: int = GROUP_CHARS):
     """Index ranges of consecutive texts that together have about `limit` characters; a longer text is alone."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        n = len(text) if text else 0
+        n = len(text) if isinstance(text, str) else 0
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
@@ -58,7 +58,7 @@ class Words:
     """
 
     def __init__(self, texts: list, fold: bool = False):
-        raw = [(t.lower() if fold else t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = [(t.lower() if fold else t).encode("utf-8", "surrogatepass") if t else b"" for t in (t if isinstance(t, str) else "" for t in texts)]
         self.buffer = buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
         bounds = np.concatenate([[0], np.cumsum(sizes)])
