@@ -124,6 +124,8 @@ def lines_to_remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     seen = docs_lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     wide = F.col("doc_id").cast("decimal(20,0)")
     stats = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.sum(wide).alias("sum")).where("df > 1")
+    # Written out, so that the join below has plain exchanges on both sides and Spark can split a frequent line's rows.
+    stats = checkpointed(stats)
     mid = (F.col("sum") - F.col("first") - F.col("last")).cast("long")
     two = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     three = F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((F.col("first"), mid), (F.col("first"), F.col("last")), (mid, F.col("last")))])
