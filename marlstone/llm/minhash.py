@@ -179,8 +179,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, blocks: int, similarity: flo
     Pairs are dealt into blocks by their smaller document, one with many partners in several; a text goes once to each
     block that needs it.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
-    dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(blocks)).cast("int"))
+    # Aggregates are written out, so that joins with them have plain exchanges and Spark can split a hot key's rows.
+    many = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")).where("salts > 1"))
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
+    dealt = pairs.join(many, "a", "left").withColumn("block", F.pmod(F.xxhash64("a", salt), F.lit(blocks)).cast("int"))
     dealt = checkpointed(dealt.select("block", "a", "b"))
     needed = dealt.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = checkpointed(needed)
@@ -217,7 +219,7 @@ def _proposals(members: DataFrame) -> DataFrame:
 
     Large buckets are put in order in slices, so that no task holds a whole one.
     """
-    stats = members.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stats = checkpointed(members.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"))
     rows = members.join(stats, "key").withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / 1024)))
     before = F.lag("rep").over(Window.partitionBy("key", "slice").orderBy("rep"))
     rows = rows.select("rep", "least", before.alias("before"))
