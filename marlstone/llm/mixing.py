@@ -39,7 +39,7 @@ def sampling_key(doc_id, weight, seed: int = SEED):
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) -> with target: shares by weight, capped at max_epochs sizes, the excess reshared.
+    """Rows with source and source_size -> with target: shares by weight, capped at max_epochs sizes, the excess reshared.
 
     Water filling in closed form: in order of cap/weight, a source is full if its cap is at most what its weight would
     get from that which the fuller ones leave. Works on one row per source.
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     left = F.first("total").over(every) - F.coalesce(F.sum(F.when(F.col("is_full"), F.col("cap"))).over(every), F.lit(0.0))
     free = F.sum(F.when(~F.col("is_full"), F.col("weight"))).over(every)
     s = s.withColumn("target", F.when(F.col("is_full"), F.col("cap")).otherwise(left / free * F.col("weight")))
-    return s.select("source", "source_size", "target")
+    return s.drop("weight", "cap", "total", "caps", "rest", "is_full")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, carry: tuple = ()) -> DataFrame:
@@ -70,20 +70,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     """
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), sampling_key(F.col("doc_id"), quality(text), seed).alias("_key"), *carry)
+    # A source's name without null, so that one partitioning serves the join and the window.
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source")
+    sized = docs.select("doc_id", "source", name, size.alias("size"), sampling_key(F.col("doc_id"), quality(text), seed).alias("_key"), *carry)
     if not carry:
         sized = checkpointed(sized)
     buckets = max(1024, block_count(docs))
     bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     sized = sized.withColumn("_bucket", bucket)
-    sums = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    goal = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
-    plan = starts.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.source", "_bucket", "_start", "source_size", "target")
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._bucket") == F.col("p._bucket")))
-    rows = rows.select("d.*", "_start", "source_size", "target")
-    within = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    sizes = sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
+    sizes = sizes.withColumn("source", F.when(F.col("_source") != "", F.substring("_source", 2, 1 << 30)))
+    goal = targets(sizes, weights, share, max_epochs)
+    plan = starts.join(goal.drop("source"), "_source")
+    rows = sized.join(plan, ["_source", "_bucket"])
+    within = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
