@@ -39,15 +39,12 @@ class Encoder:
 
     def __init__(self, path: str):
         import base64
+        import json
         import os
 
         import numpy as np
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        vocabulary = self.slow.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -56,20 +53,32 @@ class Encoder:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        self.special = [t["content"] for t in model["added_tokens"]]
+        vocabulary = {**model["model"]["vocab"], **{t["content"]: t["id"] for t in model["added_tokens"]}}
         # U+010A is how byte-level vocabularies spell a newline.
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith((".", "!", "?")) or "\u010a" in token
 
+    def _slow(self, text: str) -> list[int]:
+        """By the JSON tokenizer, which is loaded when a text first needs it: it is large."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return [*self.slow.encode(text, add_special_tokens=False).ids, 0]
+
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return [0]
         if self.fast is None or any(s in text for s in self.special):
-            return [*self.slow.encode(text, add_special_tokens=False).ids, 0]
+            return self._slow(text)
         try:
             return [*self.fast.encode_ordinary(text), 0]
         except UnicodeEncodeError:  # a lone surrogate
-            return [*self.slow.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, 0]
+            return self._slow(text.encode("utf-8", "replace").decode())
 
 
 def candidates(ids, doc_ends, ends, inner_step: int = INNER_STEP):
