@@ -160,7 +160,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE, buckets:
     return names, table.astype(np.float32)
 
 
-def identify(docs: DataFrame, names: list, table, carry: tuple = ("doc_id",), group_chars: int = GROUP_CHARS // 4) -> DataFrame:
+def identify(docs: DataFrame, names: list, table, carry: tuple = ("doc_id",), group_chars: int = GROUP_CHARS // 2) -> DataFrame:
     """The columns of `carry` with lang_pred, score and proportions (map of language to share, JSON text).
 
     lang_pred is the language with the largest share of the document's words, ties to the first by name; score is that share. A text

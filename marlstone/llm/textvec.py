@@ -10,7 +10,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Texts are handled in groups of about so many characters, which bounds memory whatever a partition holds.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
 _BASE = U64(0x9E3779B97F4A7C15)
 _RUN = U64(0xD6E8FEB86659FD93)
 _RUN_INV = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
