@@ -10,7 +10,8 @@ Copies collapse first: texts of equal folded words are one class with one repres
 pairs are enumerated: each member meets the bucket's smallest member and the one before it, which is linear in the
 bucket. Proposals whose samples agree too little are dropped, the rest are verified on whole texts by exact weighted
 Jaccard. Links make components; buckets that still hold several components propose again, between components, until
-no new link is found.
+no new link is found. Then every pair of a bucket that lies in two components is compared: a bucket is cut into slices, and
+each two slices meet in one block, where sketches are compared in memory and only likely pairs leave it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ _TABLE = 1 << 14
 SKETCH_CHARS = 1 << 19
 #: Partners of one document that are verified in one group.
 PARTNERS = 512
+#: Members of one bucket that make up one slice of the comparison of all pairs.
+SLICE = 1024
+#: Pairs that are verified in one group, about, where there are so many that the number of blocks must grow.
+PAIRS = 200_000
 #: If no more texts than this are needed, their ids are broadcast (a few MB) and only those texts are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -234,6 +239,83 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(agree >= LEAST_AGREE).select("a", "b")
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """(key, i, j, at, rep, component) from (key, rep, component): the members of each two slices of a bucket.
+
+    A component that has many members in a bucket has slices of its own, the others share slices. Two slices of one
+    component do not meet, so a large class costs one row for each member and slice of others.
+    """
+    each = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    large = F.col("m") > SLICE // 2
+    stats = each.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("m") / SLICE).cast("int").alias("k")))).alias("large"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)) / SLICE).cast("int").alias("shared"),
+    )
+    stats = checkpointed(stats.where("n > 1").drop("n"))
+    cut = lambda k, owner: F.transform(F.sequence(F.lit(1), k), lambda x: F.struct(owner.alias("owner"), x.alias("salt")))
+    none = F.lit(None).cast("long")
+    shared = F.when(F.col("shared") > 0, cut(F.col("shared"), none)).otherwise(F.array().cast("array<struct<owner:bigint,salt:int>>"))
+    slices = F.concat(shared, F.flatten(F.transform("large", lambda x: cut(x["k"], x["component"]))))
+    rows = named.join(stats.withColumn("slices", slices), "key")
+    own = F.get(F.filter("large", lambda x: x["component"] == F.col("component")), F.lit(0))
+    rows = rows.withColumn("owner", own["component"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce(own["k"], F.col("shared"))).cast("int") + 1)
+    numbered = F.transform("slices", lambda x, i: F.struct(i.alias("i"), x["owner"].alias("owner"), x["salt"].alias("salt")))
+    rows = rows.withColumn("slices", numbered)
+    at = F.get(F.filter("slices", lambda x: x["owner"].eqNullSafe(F.col("owner")) & (x["salt"] == F.col("salt"))), F.lit(0))["i"]
+    others = F.filter("slices", lambda x: x["owner"].isNull() | F.col("owner").isNull() | (x["owner"] != F.col("owner")))
+    rows = rows.select("key", "rep", "component", at.alias("at"), F.explode(others["i"]).alias("to"))
+    return rows.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "rep", "component")
+
+
+def _across(named: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b), a < b: all likely pairs that share a bucket and lie in two components, each once.
+
+    A pair that shares several buckets is compared in that of the first band.
+    """
+    rows = _blocks(named).join(reps, "rep")
+    member = F.struct("rep", "component", "at", "samples", "bands")
+    blocks = rows.groupBy("key", "i", "j").agg(F.collect_list(member).alias("m"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("m"))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            i_, j_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            at = lists.offsets.to_numpy()
+            flat = lists.values
+            rep, component, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "at"))
+            samples = flat.field("samples").flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES)
+            bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(len(keys)):
+                lo, hi = at[k], at[k + 1]
+                if i_[k] == j_[k]:
+                    p = q = np.arange(lo, hi)
+                else:
+                    p, q = (lo + np.flatnonzero(side[lo:hi] == x) for x in (i_[k], j_[k]))
+                for x in range(0, len(p), 256):
+                    part = p[x : x + 256]
+                    u, v = np.nonzero(component[part][:, None] != component[q][None, :])
+                    u, v = part[u], q[v]
+                    if i_[k] == j_[k]:
+                        u, v = u[u < v], v[u < v]
+                    for y in range(0, len(u), 1 << 15):
+                        a, b = u[y : y + (1 << 15)], v[y : y + (1 << 15)]
+                        likely = (samples[a] == samples[b]).sum(axis=1) >= LEAST_AGREE
+                        a, b = a[likely], b[likely]
+                        same = bands[a] == bands[b]
+                        first = bands[a, same.argmax(axis=1)] == keys[k]
+                        left.append(rep[a[first]])
+                        right.append(rep[b[first]])
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per distinct non-null doc_id: doc_id, class_id, kept.
 
@@ -265,6 +347,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if found.isEmpty():
             break
         edges = edges.unionByName(found)
+    rest = checkpointed(_across(named, reps).join(tested, ["a", "b"], "left_anti"))
+    count = rest.count()
+    if count:
+        edges = edges.unionByName(checkpointed(_verify(rest, base, idf, max(blocks, -(-count // PAIRS)), similarity)))
+        labels = components(edges)
     classes = member.join(labels, member["rep"] == labels["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     known = sketches.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "class_id")
     every = base.select("doc_id", F.lit(None).cast("long").alias("class_id")).unionByName(known)

@@ -153,6 +153,30 @@ def test_large_group_of_near_copies(spark):
     assert out == 1
 
 
+def family(rng, n, common=150, own=21, shared=8):
+    """Texts with a common passage, each two below 0.8 alike, and of some two that share more, above."""
+    base = words(common, rng)
+    tails = [words(own, rng) for _ in range(n)]
+    for k in range(0, n - 1, 20):
+        tails[k + 1] = tails[k][:shared] + tails[k + 1][shared:]
+    order = rng.sample(range(n), n)
+    return [(order[k], " ".join(base + tails[k])) for k in range(n)]
+
+
+def test_near_pairs_within_a_large_family(spark):
+    """Every pair of a bucket is compared, not only those that are neighbours in it."""
+    rows = sorted(family(random.Random(14), 240))
+    sets = weighted_sets(rows)
+    pairs = {(i, j): jaccard(sets[i], sets[j]) for i in sets for j in sets if i < j}
+    linked = sorted(p for p, s in pairs.items() if s >= 0.8)
+    assert sorted(pairs.values())[len(pairs) // 2] > 0.7 and min(abs(s - 0.8) for s in pairs.values()) > 1e-4
+    # No text has two partners here.
+    assert len(linked) >= 10 and len({x for p in linked for x in p}) == 2 * len(linked)
+    want = {i: i for i in sets} | {b: a for a, b in linked}
+    out = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == want
+
+
 # Substring dedup
 
 
