@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of their lines. A rare line (two or three documents have it) pairs each later
-document with every earlier one that has it; a line that more documents have pairs each later document with the earliest
-only, so a line that a third of the corpus shares costs one pair per document, and no shared line goes unpaired. Pairs of rare
-lines come from partial aggregates alone: with the count, least, greatest and sum of ids, the third id is known. Each pair is
+Overlapping documents are found through the hashes of their lines and of their runs of lines: from each line on, and up to each
+line, the shortest run that has enough words for a block. Such runs cover every block, whatever else its lines occur in. A rare
+line or run (two or three documents have it) pairs each later document with every earlier one that has it; one that more
+documents have pairs each later document with the earliest only, which has the whole run, so a line that a third of the corpus
+shares costs one pair per document, and nothing shared goes unpaired. Pairs of rare ones come from partial aggregates alone:
+with the count, least, greatest and sum of ids, the third id is known. Each pair is
 aligned by patience diff on line hashes: lines that occur once in either document and in both, in longest increasing
 order, anchor the alignment; gaps between anchors are aligned in the same way, and equal lines next to an anchor are added. Runs of
 aligned lines that are long enough are common blocks; they are deleted from the later document.
@@ -15,11 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed
+from .textvec import U64, Runs, mix
 
 #: A line in at most so many documents is rare; aggregates name the documents of two or three.
 RARE = 3
@@ -105,6 +109,25 @@ def common_blocks(earlier: list, later: list, words: list[int], least_words: int
     return out
 
 
+def shortest_runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, least_words: int):
+    """(hash, owner) of runs of lines; document i has the lines first[i]..first[i+1], with hashes h and word counts w.
+
+    The runs are those from each line on and up to each line that have at least so many words and no line to spare at the
+    other end. A run of one line is left out: it has that line's own hash.
+    """
+    lines = np.arange(len(h))
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.concatenate([[0], np.cumsum(w)])
+    end = np.searchsorted(total, total[lines] + least_words)
+    start = np.searchsorted(total, total[lines + 1] - least_words, side="right") - 1
+    on, up = end <= np.repeat(first[1:], sizes), start >= np.repeat(first[:-1], sizes)
+    a, b = np.concatenate([lines[on], start[up]]), np.concatenate([end[on], lines[up] + 1])
+    long = b - a > 1
+    a, b = a[long], b[long]
+    return mix(Runs(mix(h.view(U64))).hash(a, b)).view(np.int64), owner[a]
+
+
 def _lines(text):
     return F.split(text, "\n")
 
@@ -121,7 +144,20 @@ def lines_to_remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     # Rows that share an id are one document here: their lines are not held against each other.
     docs_lines = d.select("doc_id", packed.alias("lines")).where(F.size("lines") > 0)
     docs_lines = checkpointed(docs_lines.dropDuplicates(["doc_id"]))
+
+    def runs(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(1)
+            first = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.flatten()
+            h, w = (values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "w"))
+            found, owner = shortest_runs(h, w.astype(np.int64), first - first[0], least_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(found)], names=["doc_id", "h"])
+
     seen = docs_lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    seen = seen.unionByName(docs_lines.select("doc_id", "lines").mapInArrow(runs, "doc_id long, h long").distinct())
     wide = F.col("doc_id").cast("decimal(20,0)")
     stats = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.sum(wide).alias("sum")).where("df > 1")
     # Written out, so that the join below has plain exchanges on both sides and Spark can split a frequent line's rows.

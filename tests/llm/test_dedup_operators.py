@@ -298,3 +298,19 @@ def test_line_dedup_keeps_clean_and_odd_rows(spark):
     got = sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in line_dedup.remove_lines(frame(spark, odd)).collect())
     assert got == [("1", line, 0), ("4", "", 1), ("4", "", 1), ("None", line, 0), ("None", line, 0)]
     assert line_dedup.remove_lines(frame(spark, [])).count() == 0
+
+
+def test_block_of_frequent_lines(spark):
+    """A block is removed although each of its lines has an earlier holder; the result is that of all pairs aligned."""
+    block = [f"line {VOCABULARY[k]} of the block" for k in range(10)]
+    rows = [(k + 1, block[k]) for k in range(10)] + [(k, "\n".join(block)) for k in range(11, 15)]
+    verse = [f"verse {VOCABULARY[k + 20]}" for k in range(9)]
+    rows += [(20 + 9 * t + k, verse[k] + "\n" + f"own{t}{k}") for t in range(3) for k in range(9)] + [(60, "\n".join(verse)), (61, "x\n" + "\n".join(verse[2:]) + "\ny")]
+    gone = {i: set() for i, _ in rows}
+    for j, a in rows:
+        for i, b in rows:
+            if j < i:
+                gone[i].update(line_dedup.common_blocks(a.split("\n"), b.split("\n"), [len(x.split()) for x in b.split("\n")]))
+    assert {i for i in gone if gone[i]} == {12, 13, 14, 61}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_lines(frame(spark, rows)).collect()}
+    assert got == {i: len(x) for i, x in gone.items()}
