@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import langid, line_dedup, minhash, mixing, packing
-from marlstone.llm.common import shared_folder
+from marlstone.llm.common import checkpointed, shared_folder
 from marlstone.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,9 +37,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each class of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one document of each class of near-duplicates: that of smallest id, and of rows with that id one.
+
+    Rows without an id are compared too and come after those with one; ties go by the hash of the text. Rows of one id that
+    are not near-duplicates are different documents and stay.
+    """
+    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    first = rows.select("_row", place.alias("place")).join(classes, "_row").groupBy("class_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select(F.col("place._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

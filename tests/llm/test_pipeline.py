@@ -103,3 +103,13 @@ def test_pack_stage(stages):
 def test_run_is_the_stages_in_a_row(spark, small, stages):
     got = cp.run(spark, small)
     assert sum(r["length"] for r in got.select("length").collect()) == sum(r["length"] for r in stages[5]["rows"])
+
+
+def test_near_dedup_without_ids_and_with_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "alone without an id at all"), (None, long), (4, long), (4, long), (9, long), (None, "two rows without an id"), (None, "two rows without an id"), (5, None)]
+    rows += [(7, "one id for this text"), (7, "and for another text too"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, "").collect())
+    kept = [(None, "alone without an id at all"), (4, long), (None, "two rows without an id"), (5, None), (None, None)]
+    assert got == Counter([*kept, (7, "one id for this text"), (7, "and for another text too")])
