@@ -1,9 +1,9 @@
 """Embedding near-dedup by product quantisation.
 
 Unit vectors go to inverted lists; the residual to the list's centre is cut into subspaces, each coded by the nearest of up to 256
-centres. A vector is compared with the lists that a linked vector could be in: cosine 0.95 is a distance of 0.316, and a
-step of that length in a random direction crosses the boundary between two lists by more than Z / sqrt(dimension) of it
-hardly ever, so lists are probed whose boundary is nearer than that. Within a list, table look-ups give asymmetric
+centres. A vector is compared with the lists that a linked vector could be in: cosine 0.95 is a distance of 0.316, and two
+vectors on the two sides of a boundary between lists are no nearer to each other than either is to the boundary, so lists are
+probed whose boundary is nearer than that. Both vectors of a linked pair probe the list of the other. Within a list, table look-ups give asymmetric
 distances to the codes; a code's own error is stored with it, so distance less error is a lower bound and no linked
 vector is discarded. What remains is decided by exact cosine.
 
@@ -25,7 +25,8 @@ from .graph import components
 COSINE = 0.95
 SUBSPACES = 8
 CODES = 256
-Z = 4.5
+#: Added to the linking length for rounding.
+SLACK = 1e-6
 #: Vectors and probing vectors of one list that meet in one group, at most about so many of each.
 CHUNK = 2048
 
@@ -100,7 +101,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     own = ivf.nearest(x, centroids, 1)[:, 0]
     books = codebooks(x - centroids[own], min(SUBSPACES, dim))
     length = float(np.sqrt(2.0 - 2.0 * cosine))
-    reach = length * min(1.0, Z / np.sqrt(dim))
+    reach = length + SLACK
 
     def members(ids, m):
         import pyarrow as pa
@@ -137,7 +138,7 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         rows, columns = [], []
         for a in range(0, len(w), 256):
             far = asymmetric(ivf.unit(w[a : a + 256]) - centre, codes, books)
-            i, j = np.nonzero(far - error[None, :] <= length + 1e-6)
+            i, j = np.nonzero(far - error[None, :] <= length + SLACK)
             other = qid[a + i] != yid[j]
             i, j = a + i[other], j[other]
             for b in range(0, len(i), 1 << 15):

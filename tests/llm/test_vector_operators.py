@@ -112,3 +112,16 @@ def test_links_edges(spark):
     assert pq_dedup.link(frame(spark, [])).count() == 0
     out = sorted(tuple(r) for r in pq_dedup.link(spark.createDataFrame([(3, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (7, [2.0, 0.0], 0), (9, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)], SCHEMA)).collect())
     assert out == [(3, 1, 3, True), (7, 1, 3, False), (9, 0, 9, True)]
+
+
+def test_links_are_counted_on_both_sides(spark):
+    """Differences that lie along a few axes cross boundaries further than those in random directions."""
+    rng = np.random.default_rng(9)
+    scale = np.arange(1, 65) ** -1.5
+    x = rng.normal(size=(2000, 64)) * scale
+    x = ivf.unit(np.concatenate([x, x]))
+    step = rng.normal(size=(2000, 64)) * scale
+    x[2000:] = ivf.unit(x[2000:] + 0.27 * ivf.unit(step))
+    n, label = brute_links(x, 0.95)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.link(frame(spark, x)).collect()}
+    assert got == {i: (n[i], label[i]) for i in range(len(x))}
