@@ -23,8 +23,8 @@ BLOCK = 16
 EPSILON = 2.1
 TARGET_RECALL = 0.96
 QUERY_EVERY = 50
-#: Vectors and queries of one list that meet in one group, at most about so many of each.
-CHUNK = 4096
+#: Vectors of one list, and queries that probe it, that meet in one group, at most about so many.
+CHUNK, QUERY_CHUNK = 4096, 16384
 
 
 def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, target: float, most: int = 512) -> int:
@@ -81,20 +81,31 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, target_recall: float = TARGET_RECALL) -> DataFrame:
     """The k nearest of each query found: query_id, rank from 1, vec_id, score.
 
-    Queries are the vectors whose id is divisible by `every`; candidates are all vectors but those with the query's id.
-    Ties go to the smaller vec_id. Vectors that are null, zero, of another length than most, or have null or non-finite
-    components take no part. Of rows that share an id each is a vector; a neighbour is listed once, with its best score.
-    A query with fewer candidates than k has them all if its probes hold them. An empty table gives no rows.
+    Queries are the vectors whose id is divisible by `every`; candidates are all vectors of the same length but those with the
+    query's id. Ties go to the smaller vec_id. Vectors that are null, zero, or have null or non-finite components take no part.
+    Of rows that share an id each is a vector; a neighbour is listed once, with its best score. A query with fewer
+    candidates than k has them all if its probes hold them. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    good, dim = ivf.usable(vectors)
+    good, dims = ivf.usable(vectors)
     result = "query_id long, rank int, vec_id long, score double"
-    if not dim:
-        return spark.createDataFrame([], result)
-    x, total = ivf.sample(good)
+    if not dims:
+        return vectors.sparkSession.createDataFrame([], result)
+    found = [_found(good.where(F.size("v") == dim), dim, k, every, target_recall) for dim in dims]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(good: DataFrame, dim: int, k: int, every: int, target_recall: float) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each chunk of a list, for vectors of one length."""
+    x, total = ivf.sample(good, dim)
     centroids = ivf.kmeans(x, ivf.list_count(total, len(x)))
     probes = probes_for(x, centroids, k, target_recall)
     rotation = np.linalg.qr(np.random.default_rng(ivf.SEED).normal(size=(dim, dim)))[0]
+    element = good.schema["v"].dataType.elementType.typeName()
 
     def own_list(ids, m):
         import pyarrow as pa
@@ -116,13 +127,13 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, ta
             times = found.num_rows // len(ids)
             index = np.repeat(np.arange(len(ids)), times)
             flat = m[index]
-            v = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dim, dtype=np.int32)), pa.array(flat.ravel()))
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dim, dtype=np.int32)), pa.array(flat.ravel(), pa.float32() if element == "float" else pa.float64()))
             return pa.RecordBatch.from_arrays([found.column(0), found.column(1), v], names=["id", "list", "v"])
 
-        return ivf.mapped(rows, "id long, list int, v array<double>", both)
+        return ivf.mapped(rows, f"id long, list int, v array<{element}>", both)
 
     counts = ivf.mapped(good, "vec_id long, list int", own_list).groupBy("list").agg(
-        F.ceil(F.count("*") / CHUNK).cast("int").alias("vs"), F.ceil(F.count_if(F.col("vec_id") % every == 0) * probes / CHUNK).cast("int").alias("qs")
+        F.ceil(F.count("*") / CHUNK).cast("int").alias("vs"), F.ceil(F.count_if(F.col("vec_id") % every == 0) * probes / QUERY_CHUNK).cast("int").alias("qs")
     )
     counts = counts.withColumn("qs", F.greatest("qs", F.lit(1)))
     v = with_lists(good, own_list).join(counts, "list").withColumn("vc", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int"))
@@ -135,11 +146,11 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, ta
 
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        cid, c = candidates["id"].to_numpy(), np.stack(candidates["v"].to_numpy())
+        cid, c = candidates["id"].to_numpy(), np.stack(candidates["v"].to_numpy()).astype(np.float64)
         rotated = ivf.unit(c) @ rotation
         out = []
         for a in range(0, len(queries), 64):
-            qid, w = queries["query_id"].to_numpy()[a : a + 64], np.stack(queries["w"].to_numpy()[a : a + 64])
+            qid, w = queries["query_id"].to_numpy()[a : a + 64], np.stack(queries["w"].to_numpy()[a : a + 64]).astype(np.float64)
             i, j = scan(ivf.unit(w) @ rotation, rotated, qid[:, None] == cid[None, :], k)
             if not len(i):
                 continue
@@ -152,7 +163,4 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, ta
             out.append(pd.DataFrame({"query_id": qid[i[keep]], "vec_id": cid[j[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    found = q.groupBy("ql", "uc", "rc").cogroup(v.groupBy("vl", "vc", "qc")).applyInPandas(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return q.groupBy("ql", "uc", "rc").cogroup(v.groupBy("vl", "vc", "qc")).applyInPandas(run, "query_id long, vec_id long, score double")

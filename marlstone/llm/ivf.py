@@ -9,31 +9,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that fit the index, at most; every vector is indexed.
-TRAIN_VECTORS = 32768
+#: Vectors that fit the index: LIST_VECTORS for each list and LEAST_TRAIN at least, as far as TRAIN_BYTES go. Every vector is indexed.
+LEAST_TRAIN, LIST_VECTORS, TRAIN_BYTES = 32768, 16, 256 << 20
+#: From so many lists on, they are fitted in two levels.
+MANY_LISTS = 512
 SEED = 3
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v) of vectors that take part and their dimension.
+def usable(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(vec_id, v) of vectors that take part, and their lengths in order.
 
-    Left out: null ids, null or empty vectors, vectors with null or non-finite components, zero vectors, and vectors whose
-    length is not the most frequent one (ties to the smaller), since cosine needs equal lengths.
+    Left out: null ids, null or empty vectors, vectors with null or non-finite components, and zero vectors. Cosine needs equal
+    lengths, so vectors of each length are a matter of their own. Components stay floats if they are floats.
     """
-    v = F.col("embedding").cast("array<double>")
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = F.col("embedding").cast("array<float>" if element == "float" else "array<double>")
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = good.where((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0.0))
-    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = lengths[0]["n"] if lengths else 0
-    return good.where(F.size("v") == dim), dim
+    return good, sorted(r["n"] for r in good.select(F.size("v").alias("n")).distinct().collect())
 
 
-def sample(good: DataFrame, most: int = TRAIN_VECTORS) -> tuple[np.ndarray, int]:
-    """Unit vectors of the `most` smallest hashes of the id, and how many vectors there are."""
+def sample(good: DataFrame, dim: int) -> tuple[np.ndarray, int]:
+    """Unit vectors of the smallest hashes of the id, and how many vectors there are."""
     total = good.count()
-    rows = good.select("vec_id", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(most).collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
+    most = min(max(LEAST_TRAIN, LIST_VECTORS * math.isqrt(total)), max(1, TRAIN_BYTES // (8 * dim)))
+    rows = good.select("vec_id", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(most).select("v").toArrow()
+    x = matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((0, dim))
     return unit(x) if len(x) else x, total
 
 
@@ -44,11 +46,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def list_count(total: int, trained: int) -> int:
-    """About the square root of the number of vectors, with a few dozen training vectors for each list."""
-    return int(max(1, min(math.isqrt(max(total, 1)), trained // 16, 4096)))
+    """The square root of the number of vectors, as far as there are training vectors for each list."""
+    return int(max(1, min(math.isqrt(max(total, 1)), trained // LIST_VECTORS)))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = SEED) -> np.ndarray:
+    if k > MANY_LISTS:
+        return _two_levels(x, k, rounds, seed)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -64,6 +68,20 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = SEED) -> np.ndar
     return c
 
 
+def _two_levels(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """k centres: those of about sqrt(k) clusters, each divided in proportion to its size."""
+    top = kmeans(x, math.isqrt(k), rounds, seed)
+    own = nearest(x, top, 1)[:, 0]
+    sizes = np.bincount(own, minlength=len(top))
+    ends = np.round(np.cumsum(sizes) * (k / len(x))).astype(int)
+    parts = np.diff(ends, prepend=0)
+    out = []
+    for c, n in enumerate(parts):
+        if n:
+            out.append(kmeans(x[own == c], min(int(n), int(sizes[c]), MANY_LISTS), rounds, seed))
+    return np.concatenate(out)
+
+
 def square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :], 0.0)
 

@@ -99,13 +99,61 @@ def test_links_equal_brute_force(spark, x):
 
 
 def test_lower_bound_never_discards():
-    """Look-up distance less the code's error is at most the true distance."""
+    """Look-up distance less the code's error is at most the true distance, and look-ups are the products they stand for."""
     rng = np.random.default_rng(3)
     r = rng.normal(size=(500, 32))
     books = pq_dedup.codebooks(r, 8)
     codes, error = pq_dedup.encode(r, books)
+    y = pq_dedup.decoded(codes, books)
+    assert np.allclose(pq_dedup.looked_up(codes, pq_dedup.tables(r, books)), y @ r.T, atol=1e-4)
+    squared = np.square(r).sum(axis=1)[None, :] + np.square(y).sum(axis=1)[:, None] - 2 * pq_dedup.looked_up(codes, pq_dedup.tables(r, books))
     true = np.sqrt(ivf.square_distances(r, r))
-    assert (pq_dedup.asymmetric(r, codes, books) - error[None, :] <= true + 1e-6).all()
+    assert (np.sqrt(np.maximum(squared, 0)) - error[:, None] <= true + 1e-3).all()
+
+
+def test_many_lists_are_fitted_in_two_levels():
+    rng = np.random.default_rng(4)
+    x = ivf.unit(rng.normal(size=(12000, 8)))
+    c = ivf.kmeans(x, 700)
+    assert 650 <= len(c) <= 700
+    assert np.bincount(ivf.nearest(x, c, 1)[:, 0], minlength=len(c)).max() < 200
+
+
+@pytest.mark.parametrize("dim, inner", [(64, 3), (64, 8), (384, 3), (768, 8)])
+def test_links_of_low_dimensional_vectors(spark, dim, inner):
+    """Embeddings that lie near few dimensions: differences of linked vectors point across boundaries."""
+    rng = np.random.default_rng(dim + inner)
+    x = rng.normal(size=(1500, inner)) @ rng.normal(size=(inner, dim)) + 0.02 * rng.normal(size=(1500, dim))
+    n, label_ = brute_links(x.astype(np.float32), 0.95)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.link(frame(spark, x)).collect()}
+    assert got == {i: (n[i], label_[i]) for i in range(len(x))}
+
+
+def test_lengths_are_apart(spark):
+    """Vectors of several lengths: each is searched and linked among those of its own."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6 if i % 3 else 4).tolist(), 0) for i in range(300)]
+    rows += [(i + 300, (np.array(v) * 2).tolist(), 0) for i, v, _ in rows[:60]] + [(900, [3.0], 0), (901, [5.0], 0), (902, [-1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.link(df).collect()}
+    near = {r["query_id"]: [] for r in rows_of(ann.search(df))}
+    for r in rows_of(ann.search(df)):
+        near[r["query_id"]].append(r["vec_id"])
+    for n in (4, 6, 1):
+        ids = [i for i, v, _ in rows if len(v) == n]
+        m = np.array([v for _, v, _ in rows if len(v) == n])
+        links, label_ = brute_links(m, 0.95)
+        assert [got[i] for i in ids] == [(links[k], ids[label_[k]]) for k in range(len(ids))]
+        for k, i in enumerate(ids):
+            if i % 50 == 0:
+                s = ann.cosines(np.repeat(m[k : k + 1], len(m), axis=0), m)
+                s[k] = -2
+                best = [ids[j] for j in np.lexsort((ids, -s))[: min(5, len(ids) - 1)]]
+                assert len(set(best) & set(near[i])) >= min(4, len(best))
+
+
+def rows_of(df):
+    return df.collect()
 
 
 def test_links_edges(spark):
