@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import boundary_diff, truncated
 from ..functions.predicates import named
 from ..model import Metric
+from .selection import at_ranks, selectable
 
 Shape = Callable[[DataFrame, Metric, int], DataFrame]
 SHAPES: dict[str, Shape] = {}
@@ -53,34 +54,72 @@ def cohort_retention(df: DataFrame, m: Metric, limit: int) -> DataFrame:
     return out.orderBy("cohort_start", "periods_since_cohort").limit(limit)
 
 
+def _bucket(df: DataFrame, order: str):
+    """Cuts an entity's events into stretches of an hour, or of 65536 units of a number; other types are one stretch."""
+    kind = df.schema[order].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.date_trunc("hour", named(order))
+    if kind in ("long", "integer", "short", "byte"):
+        return F.shiftright(named(order).cast("long"), 16)
+    return F.lit(0)
+
+
 @shape("funnel")
 def funnel(df: DataFrame, m: Metric, limit: int) -> DataFrame:
     """step_name, step_index, entity_count, conversion_from_previous, conversion_from_first.
 
     A step's time is the entity's earliest matching event not before its time in the step before; one event may be several
-    steps. Each step shuffles only its own matching rows, as partial minima.
+    steps. One scan: events of equal time are merged to one set of matched steps, a stretch of an entity's events becomes
+    the map from the steps done before it to the steps done after it, and the maps of an entity's stretches are applied in
+    order. So an entity with very many events is spread over its stretches.
     """
     entity, t = named(m.funnel_entity_column), named(m.funnel_event_order_column)
-    times, counts = None, []
-    for k, (name, condition) in enumerate(m.funnel_steps):
-        hits = df.where(F.expr(condition)).where(entity.isNotNull()).select(entity.alias("entity"), t.alias("t"))
-        if times is None:
-            times = hits.groupBy("entity").agg(F.min("t").alias("since"))
-        else:
-            times = hits.join(times, "entity").where("t >= since").groupBy("entity").agg(F.min("t").alias("since"))
-        counts.append(times.agg(F.count("*").alias("entity_count")).select(F.lit(name).alias("step_name"), F.lit(k).alias("step_index"), "entity_count"))
-    steps = counts[0]
-    for c in counts[1:]:
-        steps = steps.unionByName(c)
-    order = Window.orderBy("step_index")
-    out = steps.select(
-        "step_name",
-        "step_index",
-        "entity_count",
-        _ratio(F.col("entity_count"), F.lag("entity_count").over(order)).alias("conversion_from_previous"),
-        _ratio(F.col("entity_count"), F.first("entity_count").over(order)).alias("conversion_from_first"),
-    )
-    return out.orderBy("step_index").limit(limit)
+    n = len(m.funnel_steps)
+    steps = [(name, F.coalesce(F.expr(condition), F.lit(False))) for name, condition in m.funnel_steps]
+    matched = F.lit(False)
+    for _, c in steps:
+        matched = matched | c
+    hits = df.where(entity.isNotNull() & t.isNotNull() & matched)
+    hits = hits.groupBy(entity.alias("entity"), _bucket(df, m.funnel_event_order_column).alias("stretch"), t.alias("t"))
+    hits = hits.agg(F.array(*[F.bool_or(c) for _, c in steps]).alias("did"))
+    counts = F.sequence(F.lit(0), F.lit(n))
+
+    def after(done, did):
+        """How many steps are done after an event: those before it, and further ones that it matches without a gap."""
+        gap = F.array_min(F.transform(counts, lambda k: F.when((k >= done) & ((k == n) | ~F.coalesce(F.get(did, k), F.lit(False))), k)))
+        return gap
+
+    events = F.transform(F.array_sort(F.collect_list(F.struct("t", "did"))), lambda e: e["did"])
+    each = hits.groupBy("entity", "stretch").agg(events.alias("events"))
+    maps = F.aggregate("events", counts, lambda at, did: F.transform(at, lambda done: after(done, did)))
+    each = each.select("entity", F.struct("stretch", maps.alias("to")).alias("e"))
+    ends = each.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["to"]).alias("maps"))
+    ends = ends.select(F.aggregate("maps", F.lit(0), lambda done, to: F.get(to, done)).alias("done"))
+    reached = ends.agg(*[F.count_if(F.col("done") > k).alias(f"n{k}") for k in range(n)])
+    rows = []
+    for k, (name, _) in enumerate(m.funnel_steps):
+        now = F.col(f"n{k}")
+        before = _ratio(now, F.col(f"n{k - 1}")) if k else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(name).alias("step_name"), F.lit(k).alias("step_index"), now.alias("entity_count"), before.alias("conversion_from_previous"), _ratio(now, F.col("n0")).alias("conversion_from_first")))
+    return reached.select(F.inline(F.array(*rows))).orderBy("step_index").limit(limit)
+
+
+def _top_share(ranked: DataFrame, p: float) -> DataFrame:
+    """Rows whose PERCENT_RANK by value, descending and nulls last, is at most p.
+
+    Of n rows, at most m = floor(p (n - 1)) rank before a kept one: kept are the rows with at least the value that has m rows
+    before it. Values that are no numbers are counted by value and ranked in one task.
+    """
+    if selectable(ranked, "value"):
+        last = at_ranks(ranked, [], "value", 1 - p, lambda n: [n - 1 - F.floor(F.lit(p) * (n - 1) + 1e-9)], ("least",))
+        kept = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(last.select(F.lit(1).alias("_one"), "least")), "_one")
+        return kept.where(F.col("least").isNull() | (F.col("value") >= F.col("least")))
+    values = ranked.groupBy("value").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy(F.col("value").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("above", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    rank = F.when(F.col("total") > 1, F.col("above").cast("double") / (F.col("total") - 1)).otherwise(F.lit(0.0))
+    kept = values.where(rank <= p).select(F.col("value").alias("kept"))
+    return ranked.join(kept, ranked["value"].eqNullSafe(kept["kept"]), "left_semi")
 
 
 @shape("multi_stage_filter")
@@ -88,19 +127,14 @@ def multi_stage_filter(df: DataFrame, m: Metric, limit: int) -> DataFrame:
     """entity_count, result_value: a raw aggregate over all rows of the best entities; always one row.
 
     top_n breaks ties by entity. top_percentile keeps entities whose PERCENT_RANK of the ranking, descending and nulls
-    last, is at most p, ties included; since rank depends on the value alone, ranks are counted over distinct values.
+    last, is at most p, ties included. Those are the entities with at least the value of the last one that rank allows.
     """
     entity = named(m.msf_entity_column)
     ranked = df.groupBy(entity.alias("entity")).agg(F.expr(m.msf_ranking_expression).alias("value"))
     if m.top_n is not None:
         best = ranked.orderBy(F.col("value").desc_nulls_last(), F.col("entity").asc_nulls_last()).limit(m.top_n)
     else:
-        values = ranked.groupBy("value").agg(F.count("*").alias("n"))
-        ahead = Window.orderBy(F.col("value").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        values = values.withColumn("above", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-        rank = F.when(F.col("total") > 1, F.col("above").cast("double") / (F.col("total") - 1)).otherwise(F.lit(0.0))
-        kept = values.where(rank <= m.top_percentile).select(F.col("value").alias("kept"))
-        best = ranked.join(kept, ranked["value"].eqNullSafe(kept["kept"]), "left_semi")
+        best = _top_share(ranked, m.top_percentile)
     best = best.select("entity")
     rows = df.join(best, entity == best["entity"], "left_semi")
     return rows.agg(F.countDistinct(entity).alias("entity_count"), F.expr(m.msf_result_expression).alias("result_value"))

@@ -158,24 +158,29 @@ intent("order_bottom_k", "orders", "SELECT o_custkey AS customer, count(*) AS or
 _ROLL = "SELECT event_id, {agg} OVER ({by}ORDER BY ts RANGE BETWEEN INTERVAL {w} PRECEDING AND CURRENT ROW) AS {id} FROM events"
 
 
-#: Averages of cents by powers of two end in an exact half; this much more decides them alike in both engines.
-NUDGE = 1e-7
-
-
-def _rolling(name: str, metric: str, sql: str, nudge: float = 0.0) -> None:
+def _rolling(name: str, metric: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir)
-        out = rolling(e.registry.load("events"), e.catalog.metrics[metric], keep=("event_id",))
-        return rounded(out.withColumn(metric, F.col(metric) + nudge) if nudge else out, 3)
+        return rounded(rolling(e.registry.load("events"), e.catalog.metrics[metric], keep=("event_id",)), 3)
 
     put(name, run, sql)
 
 
-for _a in ("sum", "avg", "min", "max", "count"):
-    _x = f"{_a}(value)"
-    _sql = _ROLL.format(agg=_x, by="", w="7 DAYS", id=f"value_7d_{_a}")
-    _more = NUDGE if _a == "avg" else 0.0
-    _rolling(f"rolling_{_a}_7d", f"value_7d_{_a}", f"SELECT event_id, {f'round(value_7d_{_a} + {_more}, 3)' if _a != 'count' else f'value_7d_{_a}'} AS value_7d_{_a} FROM ({_sql})", _more)
+for _a in ("sum", "min", "max", "count"):
+    _sql = _ROLL.format(agg=f"{_a}(value)", by="", w="7 DAYS", id=f"value_7d_{_a}")
+    _rolling(f"rolling_{_a}_7d", f"value_7d_{_a}", f"SELECT event_id, {f'round(value_7d_{_a}, 3)' if _a != 'count' else f'value_7d_{_a}'} AS value_7d_{_a} FROM ({_sql})")
+
+
+def _rolling_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of cents as decimals, which are exact in both engines; as doubles, ties would be rounded either way."""
+    e = engine(spark, sf_dir)
+    events = e.registry.load("events").withColumn("value", F.col("value").cast("decimal(12,2)"))
+    out = rolling(events, e.catalog.metrics["value_7d_avg"], keep=("event_id",))
+    return out.withColumn("value_7d_avg", F.col("value_7d_avg").cast("double"))
+
+
+_CENTS = _ROLL.format(agg="sum(round(value * 100)::BIGINT)", by="", w="7 DAYS", id="s").replace(" FROM", ", count(value) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS n FROM")
+put("rolling_avg_7d", _rolling_avg, f"SELECT event_id, ((((2 * abs(s) * 10000 + n) // (2 * n)) * sign(s))::DECIMAL(24,0) / 1000000)::DOUBLE AS value_7d_avg FROM ({_CENTS})")
 _rolling("rolling_partitioned", "value_1h_by_type", f"SELECT event_id, round(value_1h_by_type, 3) AS value_1h_by_type FROM ({_ROLL.format(agg='max(value)', by='PARTITION BY event_type ', w='1 HOUR', id='value_1h_by_type')})")
 _rolling("rolling_filtered", "clicks_7d", _ROLL.format(agg="count(CASE WHEN event_type = 'click' THEN value END)", by="PARTITION BY user_id ", w="7 DAYS", id="clicks_7d"))
 
