@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from .engine import Engine
 from .model import MarlstoneError
 from .plans.governance import ApprovalQueue, identity_from_env, resolve_identity
-from .sources.sinks import to_csv, to_json, to_tsv, write
+from .sources.sinks import to_csv, to_json, to_tsv
 
 SAMPLE = """sources:
   - id: orders
@@ -93,9 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         engine = Engine(spark, Path(args.config).read_text(), args.folder)
         return _run(args, engine)
-    except (MarlstoneError, OSError, ValueError) as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 3
+    except Exception as e:  # whatever Spark raises ends the command, not the shell's patience
+        print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
+        return 2 if args.command == "check" else 3
 
 
 def _approvals(args) -> int:
@@ -171,9 +171,8 @@ def _run(args, engine: Engine) -> int:
         print(json.dumps(engine.explain(identity, args.text), indent=1, default=str))
         return 0
     if args.format == "parquet" or args.out:
-        plan = engine.plan(identity, args.text) if is_intent else engine.plan_sql(identity, args.text)
-        write(plan.df, args.out or "out.parquet", args.format)
-        return 0
+        result = engine.export(identity, args.text, args.out or "out.parquet", args.format)
+        return show(result) if result.status != "ok" else 0
     return show(engine.query(identity, args.text) if is_intent else engine.sql(identity, args.text), args.format)
 
 

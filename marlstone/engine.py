@@ -9,7 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from . import config
 from .config import Catalog
@@ -20,7 +21,7 @@ from .plans.audit import AUDIT, RUNS, AppendLog
 from .plans.cache import LruCache
 from .plans.governance import AllowedSchema, Decision, Governance, RateLimiter, governed, utc_now
 from .sources.registry import SourceRegistry, drift, example_values
-from .sources.sinks import post_webhook
+from .sources.sinks import post_webhook, write
 
 
 @dataclass
@@ -34,6 +35,11 @@ class Result:
     stage: str | None = None
     query_id: str = ""
     cached: bool = False
+    row_count: int | None = None
+
+    @property
+    def count(self) -> int:
+        return len(self.rows) if self.row_count is None else self.row_count
 
 
 @dataclass
@@ -73,7 +79,7 @@ class Engine:
     ):
         self.spark = spark
         self.catalog = catalog if isinstance(catalog, Catalog) else config.load(catalog)
-        self.registry = SourceRegistry(spark, self.catalog.sources)
+        self.registry = SourceRegistry(spark, self.catalog.sources, f"{folder}/touched" if folder else None)
         self.clock, self.timeout_ms, self.webhook = clock, timeout_ms, webhook
         self.audit = AppendLog(spark, AUDIT, f"{folder}/audit" if folder else None)
         self.runs = AppendLog(spark, RUNS, f"{folder}/quality_runs" if folder else None)
@@ -130,7 +136,6 @@ class Engine:
         outcomes = quality.run_checks(df, rules, now, sql, lambda rule, n: quality.trailing(self.runs.df(), rule, n))
         for o in outcomes:
             self.runs.append(**quality.log_row(o, now))
-        self.runs.flush()
         self._health.pop(source_id, None)
         self.health_generation += 1
         for r in rules:
@@ -221,6 +226,18 @@ class Engine:
     def sql(self, identity: Identity, text: str) -> Result:
         return self._answer(identity, text, lambda: self.plan_sql(identity, text), redaction.redact_sql, None)
 
+    def export(self, identity: Identity, text: str, path: str, kind: str = "parquet") -> Result:
+        """Writes the answer to an intent (JSON text) or a SELECT to files, from executors; audited like any other. No rows return."""
+        is_intent = text.lstrip().startswith("{")
+
+        def written(plan: Plan) -> Result:
+            count = Observation()
+            write(plan.df.observe(count, F.count(F.lit(1)).alias("rows")), path, kind)
+            return Result("ok", tuple(plan.df.columns), row_count=count.get["rows"])
+
+        make = (lambda: self.plan(identity, text)) if is_intent else (lambda: self.plan_sql(identity, text))
+        return self._answer(identity, text, make, redaction.redact_intent if is_intent else redaction.redact_sql, None, written)
+
     def ask(self, identity: Identity, question: str, source_id: str, today: date | None = None) -> tuple[nl.Match | None, Result | None]:
         """Answers a plain-English question; (None, None) where it is not understood."""
         match = nl.understand(question, self.schema(identity, source_id), today)
@@ -237,13 +254,14 @@ class Engine:
         text = plan.df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return {"allowed": True, "columns": plan.df.columns, "metric_versions": plan.decision.metric_versions, "plan": text}
 
-    def _answer(self, identity: Identity, text: str, make: Callable[[], Plan], redact, prompt: str | None) -> Result:
+    def _answer(self, identity: Identity, text: str, make: Callable[[], Plan], redact, prompt: str | None, run: Callable[[Plan], Result] | None = None) -> Result:
+        """Every attempt is in the audit log before its result is returned."""
         began, query_id = time.monotonic(), uuid.uuid4().hex
         source, versions, result = None, "", None
         try:
             plan = make()
             source, versions = plan.source, ",".join(f"{m}@{v}" for m, v in plan.decision.metric_versions)
-            result = self._rows(identity, plan)
+            result = run(plan) if run else self._rows(identity, plan)
         except Denied as e:
             source, result = e.source, Result("denied", reason=e.decision.deny_text, stage="governance")
         except (IntentError, sqlgate.SqlError) as e:
@@ -255,9 +273,8 @@ class Engine:
         role = self.catalog.roles.get(identity.role_id)
         reason = result.reason if result.status == "denied" or result.stage == "intent_invalid" else None
         self.audit.append(
-            now=result.status != "ok",
             query_id=query_id, user_id=identity.user_id, role_id=identity.role_id, nl_prompt=redaction.redact_prompt(prompt, text, sensitive),
-            generated_sql=redact(text, sensitive), status=result.status, deny_reason=redact_reason(reason, text, redact, sensitive), row_count=len(result.rows) if result.status == "ok" else None,
+            generated_sql=redact(text, sensitive), status=result.status, deny_reason=redact_reason(reason, text, redact, sensitive), row_count=result.count if result.status == "ok" else None,
             duration_ms=int((time.monotonic() - began) * 1000), created_at=self.clock(), is_break_glass=bool(role and role.is_break_glass), metric_versions=versions,
         )
         return result

@@ -71,6 +71,10 @@ class MaterializedStore:
     def refresh(self, metric: Metric, source: Source, df: DataFrame, now: datetime) -> DataFrame:
         """Rebuilds a metric, or merges what is newer than its watermark less the grace for late rows."""
         old, mark = self.read(metric.id), self.watermark(metric.id)
+        newest = None
+        if metric.watermark_column:
+            # Before the groups are read: a row that arrives between the two scans is then newer than the mark, and read again.
+            newest = df.agg(F.max(named(metric.watermark_column).cast("timestamp_ntz")).alias("m")).first()["m"]
         if metric.materialized_strategy == "incremental" and old is not None and mark is not None:
             out = merged(old, df, metric, source, mark - timedelta(seconds=metric.late_arrival_grace_seconds or 0))
         else:
@@ -78,7 +82,6 @@ class MaterializedStore:
         version = uuid.uuid4().hex
         out.write.parquet(f"{self.folder}/{slug(metric.id)}/{version}")
         if metric.watermark_column:
-            newest = df.agg(F.max(named(metric.watermark_column).cast("timestamp_ntz")).alias("m")).first()["m"]
             mark = max([x for x in (mark, newest) if x is not None], default=None)
         self.spark.createDataFrame([(metric.id, version, mark, now)], STATE).coalesce(1).write.mode("append").parquet(f"{self.folder}/_state")
         self._current[metric.id] = (version, mark)

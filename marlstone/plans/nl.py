@@ -313,7 +313,21 @@ SHOWN: list[tuple[str, str, Build]] = [
     ("single_metric", "{metric}", lambda s, g: {"metrics": [s.metric(g["metric"])]}),
 ]
 
-_COMPILED = [(name, _pattern(t), b) for name, t, b in PLAIN] + [(name, _pattern("({show} )" + t), b) for name, t, b in SHOWN]
+_COMPILED: list[tuple] = [(name, _pattern(t), b) for name, t, b in PLAIN] + [(name, _pattern("({show} )" + t), b) for name, t, b in SHOWN]
+
+
+def register(name: str, template: str, first: bool = False) -> Callable[[Build], Build]:
+    """Adds a phrase: decorates the function from (schema, what the template's fields matched) to an intent's fields.
+
+    The function raises NoMatch where the phrase does not resolve. Phrases are tried in order; `first` puts this one before all others.
+    """
+
+    def put(build: Build) -> Build:
+        entry = (name, _pattern("({show} )" + template), build)
+        _COMPILED.insert(0 if first else len(_COMPILED), entry)
+        return build
+
+    return put
 
 
 def understand(text: str, view: AllowedSchema, today: date | None = None) -> Match | None:

@@ -10,16 +10,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import slug
 from ..functions.predicates import named
 from ..model import Source, SourceError
+from .files import Files
 
 
 class SourceRegistry:
     """Loads a source as a DataFrame. Nothing is read but what the plan needs; no job runs here, but for CSV type inference."""
 
-    def __init__(self, spark: SparkSession, sources: Mapping[str, Source]):
+    def __init__(self, spark: SparkSession, sources: Mapping[str, Source], folder: str | None = None):
         self.spark = spark
         self.sources = sources
+        # Touches are kept in the folder, so that other processes see them.
+        self._touched = Files(spark, folder) if folder else None
         self.tokens: dict[str, str] = {}
         self._frames: dict[str, tuple] = {}
 
@@ -66,7 +70,8 @@ class SourceRegistry:
         """A token that changes when the data may have: the newest file's time and size, or the last touch of a table."""
         s = self.source(source_id)
         if s.type in ("table", "sql_view", "jdbc"):
-            return self.tokens.get(source_id, "0")
+            known = self._touched.get(slug(source_id)) if self._touched else self.tokens.get(source_id)
+            return known or "0"
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(s.uri)
         fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
@@ -86,6 +91,8 @@ class SourceRegistry:
         s = self.source(source_id)
         if s.type in ("table", "sql_view", "jdbc"):
             self.tokens[source_id] = uuid.uuid4().hex
+            if self._touched:
+                self._touched.put(slug(source_id), self.tokens[source_id], overwrite=True)
         return self.version(source_id)
 
 

@@ -168,6 +168,37 @@ def test_result_cache_and_touch(engine):
     assert not ask(engine, ["order_count"]).cached
 
 
+def test_state_is_shared_between_engines(spark, tmp_path):
+    """Touches, quality history and the audit log of one engine are seen by the next on the same folder."""
+    first = Engine(spark, catalog(), folder=str(tmp_path), enforce_quality=True, clock=lambda: NOW)
+    before = first.registry.version("orders")
+    first.registry.touch("orders")
+    first.check("orders")
+    ask(first, ["order_count"])
+    second = Engine(spark, catalog(), folder=str(tmp_path), enforce_quality=True, clock=lambda: NOW)
+    assert second.registry.version("orders") == first.registry.version("orders") != before
+    assert ask(second, ["order_count"]).reason.startswith("quality:rule_failed:amount_not_null failed")
+    assert [r["status"] for r in second.audit.rows()] == ["denied", "denied"]
+    assert second.runs.df().count() == 4
+
+
+def test_registered_phrases(engine):
+    from marlstone.plans import nl
+
+    kept = list(nl._COMPILED)
+    try:
+
+        @nl.register("metric_please", "please {metric}")
+        def please(schema, said):
+            return {"metrics": [schema.metric(said["metric"])]}
+
+        match, r = engine.ask(who(engine), "please order count", "orders")
+        assert match.pattern == "metric_please" and r.rows == [(7,)]
+        assert engine.ask(who(engine), "please nonsense", "orders") == (None, None)
+    finally:
+        nl._COMPILED[:] = kept
+
+
 def test_questions(engine):
     engine.sample_examples("orders")
     match, r = engine.ask(who(engine), "top 1 region by gross revenue?", "orders")

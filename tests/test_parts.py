@@ -1,5 +1,7 @@
 import json
-from datetime import datetime
+import math
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -14,8 +16,10 @@ from marlstone.functions.predicates import check, intent_column
 from marlstone.model import ConfigError, FilterError, Source
 from marlstone.operators import materialize
 from marlstone.operators.quality import judge_anomaly
+from marlstone.operators.selection import at_ranks
 from marlstone.operators.windows import rolling
 from marlstone.plans import redaction, sqlgate
+from marlstone.plans.audit import AUDIT, RUNS, AppendLog
 from marlstone.plans.governance import ApprovalQueue, identity_from_env, identity_from_jwt
 from marlstone.sources.registry import Drift, SourceRegistry, drift, example_values
 from marlstone.sources.sinks import to_csv, to_json, to_tsv
@@ -93,14 +97,55 @@ def test_widgets(spark):
     assert (round(row["v"], 9), row["m"], row["o"], row["d"], round(row["w"], 6), row["f"], row["l"]) == (80.0, 30.0, "blue", 2, round(320 / 12, 6), 10.0, 30.0)
 
 
-def test_rolling_slices_equal_one_window(spark):
-    rows = [(i, datetime(2024, 1, 1 + i % 28, i % 24), float(i % 7)) for i in range(200)] + [(900, None, 1.0), (901, None, 2.0)]
-    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, v double")
-    m = load({**catalog(), "metrics": [], "quality_rules": [], "freshness_rules": []}) and config._metric({"id": "r", "source": "s", "type": "rolling_window", "column": "v", "aggregate": "sum", "window": "3 days", "order_by_column": "t"})
-    got = {r["k"]: r["r"] for r in rolling(df, m, keep=("k",)).collect()}
+@pytest.mark.parametrize("window, by", [("3 days", ()), ("90 minutes", ("g",)), ("1 month", ()), ("1 quarter", ("g",)), ("1 second", ())])
+def test_rolling_equals_one_window(spark, window, by):
+    """Every aggregate against Spark's own window: ties, a time that a third of the rows have, nulls, month ends, a hot group."""
+    start = datetime(2024, 1, 29, 23, 30)
+    rows = [(i, start + timedelta(minutes=i * i % 997 * 60, microseconds=i % 3), None if i % 11 == 0 else float(i % 7) - 3, None if i % 5 == 0 else "h" if i % 4 else "c") for i in range(300)]
+    rows += [(1000 + i, datetime(2024, 2, 29, 12), float(i), "h") for i in range(150)] + [(2000 + i, datetime(2023, 10 + i % 3, 31 - i % 3), 1.5, "h") for i in range(20)]
+    rows += [(900, None, 1.0, "h"), (901, None, 2.0, "h"), (902, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, v double, g string")
     df.createOrReplaceTempView("rolling_rows")
-    want = {r["k"]: r["r"] for r in spark.sql("SELECT k, sum(v) OVER (ORDER BY t RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS r FROM rolling_rows").collect()}
-    assert got == want
+    frame = f"({'PARTITION BY g ' if by else ''}ORDER BY t RANGE BETWEEN {interval_sql(window)} PRECEDING AND CURRENT ROW)"
+    for f in ("sum", "avg", "min", "max", "count"):
+        m = config._metric({"id": "r", "source": "s", "type": "rolling_window", "column": "v", "aggregate": f, "window": window, "order_by_column": "t", "partition_by": list(by), "filter": "k % 13 <> 0"})
+        got = {r["k"]: r["r"] for r in rolling(df, m, keep=("k",)).collect()}
+        want = {r["k"]: r["r"] for r in spark.sql(f"SELECT k, {f}(CASE WHEN k % 13 <> 0 THEN v END) OVER {frame} AS r FROM rolling_rows").collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == want[k] or got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_selection_of_ranks(spark):
+    """Order statistics by group against sorted lists."""
+    rng = random.Random(3)
+    rows = [(g, None if rng.random() < 0.1 else rng.choice([rng.gauss(0, 1), 7.0, rng.random() * 1e9])) for g in ("a", "b", None) for _ in range(400)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = {r["g"]: r["at"] for r in at_ranks(df, ["g"], "v", share, lambda n, p=share: [F.floor((n - 1) * p)]).collect()}
+        for g in ("a", "b", "c", None):
+            values = sorted((v for x, v in rows if x == g), key=lambda v: (v is not None, v or 0.0))
+            assert got[g] == values[math.floor((len(values) - 1) * share)]
+    assert at_ranks(df.where("false"), [], "v", 0.5, lambda n: [F.floor(n / 2)]).count() == 0
+
+
+def test_logs_survive_their_process(spark, tmp_path):
+    """Rows are there for a second log on the same path, written singly, gathered, or in both places."""
+    path = str(tmp_path / "log")
+    at = datetime(2026, 3, 4, 5, 6, 7, 123456)
+    first = AppendLog(spark, RUNS, path, batch=3)
+    assert first.df().count() == 0
+    for i in range(4):
+        first.append(run_id=f"r{i}", rule_id="x", passed=i % 2 == 0, ran_at=at)
+        assert AppendLog(spark, RUNS, path).df().count() == i + 1
+    assert len(list((tmp_path / "log" / "new").glob("*.json"))) == 1
+    second = AppendLog(spark, RUNS, path)
+    second.append(run_id="r9", rule_id="it's \"odd\"\n", passed=None, ran_at=None)
+    second.append(run_id="r0", rule_id="x", passed=True, ran_at=at)  # as if a process had ended while it gathered
+    rows = {r["run_id"]: r for r in second.rows()}
+    assert sorted(rows) == ["r0", "r1", "r2", "r3", "r9"] and len(second.rows()) == 5
+    assert rows["r1"]["ran_at"] == at and rows["r1"]["passed"] is False and rows["r9"]["rule_id"] == "it's \"odd\"\n"
+    second.gather()
+    assert AppendLog(spark, RUNS, path).df().count() == 5
 
 
 @pytest.mark.parametrize(
@@ -301,4 +346,14 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert run("ask", "orders", "why") == 4
     assert run("query", '{"source": "orders", "metrics": ["nope"]}') == 3
     assert cli.main(["--config", str(tmp_path / "catalog.yaml"), "--role", "nobody", "query", '{"source": "orders", "metrics": ["revenue"]}'], spark) == 2
+    # Every attempt is on disk, exports and denials too, and other processes read it.
+    folder = str(tmp_path / "state")
+    kept = lambda *a, role="analyst": cli.main(["--config", str(tmp_path / "catalog.yaml"), "--folder", folder, "--role", role, *a], spark)
+    text = '{"source": "orders", "metrics": ["revenue"]}'
+    assert [kept("query", text), kept("query", text, "--format", "parquet", "--out", str(tmp_path / "x")), kept("query", text, "--out", str(tmp_path / "y"), role="nobody")] == [0, 0, 2]
+    assert spark.read.parquet(str(tmp_path / "x")).collect()[0][0] == 43.75 and not (tmp_path / "y").exists()
+    log = AppendLog(spark, AUDIT, f"{folder}/audit").rows()
+    assert sorted((r["status"], r["row_count"]) for r in log if r["status"] == "ok") == [("ok", 1), ("ok", 1)] and len(log) == 3
+    assert kept("query", "SELECT nope FROM orders") == 3 and kept("check", "nowhere") == 2
+    assert kept("detect-access-anomalies") == 0
     assert run("sync") == 0 and run("catalog") == 0 and run("describe", "revenue") == 0 and run("check", "orders") == 0
