@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marlstone.llm import langid, line_dedup, minhash, mixing, packing
 from marlstone.llm.common import checkpointed, shared_folder
 from marlstone.llm.queries import tokenizer_path
+from marlstone.sources.files import Files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose leading language has a smaller share of its words goes, as does one without a letter.
@@ -70,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; between stages, rows are written to the shared folder and read again."""
+    """All stages over `documents`; between stages, rows are written to the shared folder and read again.
+
+    What a stage wrote is removed once the next has written its own; the last one's input stays for the result to be read from.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -78,4 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                Files(spark, folder).remove(str(k - 1))
     return docs
