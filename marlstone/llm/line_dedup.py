@@ -128,22 +128,26 @@ def shortest_runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, least_words:
     return mix(Runs(mix(h.view(U64))).hash(a, b)).view(np.int64), owner[a]
 
 
-def _lines(text):
-    return F.split(text, "\n")
+#: White space that is dropped from the ends of a line.
+BLANKS = " \t\r\x0b\x0c"
+
+
+def _key(doc_id, text):
+    """What names a document: its id and the hash of its text, since rows may share an id but not a text."""
+    return F.struct(doc_id.cast("long").alias("doc"), F.xxhash64(text).alias("hash"))
 
 
 def lines_to_remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, gone): for documents that lose lines, the sorted numbers from 0 of the lines to delete.
+    """(key, gone): for documents that lose lines, the sorted numbers from 0 of the lines to delete. key: (doc, hash of the text).
 
     Lines are compared without white space at their ends; blank lines are neither compared nor counted.
     """
-    d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("n"), F.trim(x).alias("s")))
+    d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("n"), F.btrim(x, F.lit(BLANKS)).alias("s")))
     each = F.filter(each, lambda x: F.length(x["s"]) > 0)
     packed = F.transform(each, lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["s"]).alias("h"), F.size(F.split(x["s"], r"\s+")).alias("w")))
-    # Rows that share an id are one document here: their lines are not held against each other.
-    docs_lines = d.select("doc_id", packed.alias("lines")).where(F.size("lines") > 0)
-    docs_lines = checkpointed(docs_lines.dropDuplicates(["doc_id"]))
+    docs_lines = d.select(_key(F.col("doc_id"), F.col("text")).alias("key"), packed.alias("lines")).where(F.size("lines") > 0)
+    docs_lines = checkpointed(docs_lines.dropDuplicates(["key"]))
 
     def runs(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -154,49 +158,52 @@ def lines_to_remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
             values = lists.flatten()
             h, w = (values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "w"))
             found, owner = shortest_runs(h, w.astype(np.int64), first - first[0], least_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(found)], names=["doc_id", "h"])
-
-    seen = docs_lines.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    seen = seen.unionByName(docs_lines.select("doc_id", "lines").mapInArrow(runs, "doc_id long, h long").distinct())
-    wide = F.col("doc_id").cast("decimal(20,0)")
-    stats = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.sum(wide).alias("sum")).where("df > 1")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(found)], names=["key", "h"])
+
+    key_type = "struct<doc:bigint,hash:bigint>"
+    seen = docs_lines.select("key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    seen = seen.unionByName(docs_lines.select("key", "lines").mapInArrow(runs, f"key {key_type}, h long").distinct())
+    # With two or three holders, the least, the greatest and sums name them all.
+    wide = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c.split(".")[1]) for c in ("key.doc", "key.hash")]
+    stats = seen.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("df"), *wide).where("df > 1")
     # Written out, so that the join below has plain exchanges on both sides and Spark can split a frequent line's rows.
     stats = checkpointed(stats)
-    mid = (F.col("sum") - F.col("first") - F.col("last")).cast("long")
+    mid = F.struct(*[(F.col(c) - F.col(f"first.{c}") - F.col(f"last.{c}")).cast("long").alias(c) for c in ("doc", "hash")])
     two = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     three = F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((F.col("first"), mid), (F.col("first"), F.col("last")), (mid, F.col("last")))])
     rare = stats.where(F.col("df") <= RARE).select(F.explode(F.when(F.col("df") == 2, two).otherwise(three)).alias("p")).select("p.a", "p.b")
-    often = seen.join(stats.where(F.col("df") > RARE).select("h", "first"), "h").where(F.col("doc_id") > F.col("first"))
-    pairs = rare.unionByName(often.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    left = docs_lines.select(F.col("doc_id").alias("a"), F.transform("lines", lambda x: x["h"]).alias("ha"))
-    right = docs_lines.select(F.col("doc_id").alias("b"), F.col("lines").alias("lb"))
+    often = seen.join(stats.where(F.col("df") > RARE).select("h", "first"), "h").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    # Documents of one id are not held against each other.
+    pairs = rare.unionByName(often).where(F.col("a.doc") < F.col("b.doc")).distinct()
+    left = docs_lines.select(F.col("key").alias("a"), F.transform("lines", lambda x: x["h"]).alias("ha"))
+    right = docs_lines.select(F.col("key").alias("b"), F.col("lines").alias("lb"))
     joined = pairs.join(left, "a").join(right, "b").select("b", "ha", "lb.h", "lb.n", "lb.w")
 
     def align(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ids, gone = [], []
-            for b, ha, h, n, w in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            at, gone = [], []
+            for k, (ha, h, n, w) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
                 found = common_blocks(ha, h, w, least_words)
                 if found:
-                    ids.append(b)
+                    at.append(k)
                     gone.append([n[k] for k in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
-    found = joined.mapInArrow(align, "doc_id long, gone array<int>")
-    return found.select("doc_id", F.explode("gone").alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("gone"))
+    found = joined.mapInArrow(align, f"key {key_type}, gone array<int>")
+    return found.select("key", F.explode("gone").alias("n")).groupBy("key").agg(F.array_sort(F.collect_set("n")).alias("gone"))
 
 
 def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with text lacking the lines in common blocks, and n_lines and n_removed, both numbers of lines.
 
-    The later document of a pair is the one with the larger doc_id. Rows with a null doc_id or text come back unchanged; of rows
-    that share a doc_id any one speaks for all, and the deletions apply to each. A text without lines to delete is
-    returned as it is; one that loses every line that is not blank keeps its blank lines. An empty table gives no rows.
-    Columns of `docs` that are named n_lines or n_removed are replaced.
+    The later document of a pair is the one with the larger doc_id. Rows with a null doc_id or text come back unchanged. Rows
+    that share a doc_id are each judged and cut by their own text, and not held against each other. A text without lines to
+    delete is returned as it is; one that loses every line that is not blank keeps its blank lines. An empty table gives no
+    rows. Columns of `docs` that are named n_lines or n_removed are replaced.
     """
-    gone = lines_to_remove(docs, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("gone", "_gone")
+    gone = lines_to_remove(docs, least_words).select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*own).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -217,4 +224,5 @@ def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in own]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*own, "n_lines", "n_removed"])
 
-    return rows.join(gone, rows["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc").mapInArrow(cut, schema)
+    joined = rows.join(gone, _key(F.col("doc_id"), F.col("text")) == F.col("_key"), "left").drop("_key")
+    return joined.mapInArrow(cut, schema)

@@ -248,23 +248,36 @@ def test_patience_is_an_alignment():
     assert line_dedup.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
 
 
+def line_items(counts, least):
+    """(first, end) of single lines and of the shortest runs of enough words from each line on and up to each line."""
+    n = len(counts)
+    out = {(k, k + 1) for k in range(n)}
+    for k in range(n):
+        ends = [e for e in range(k + 1, n + 1) if sum(counts[k:e]) >= least]
+        starts = [s for s in range(k + 1) if sum(counts[s : k + 1]) >= least]
+        out |= {(k, ends[0])} if ends else set()
+        out |= {(starts[-1], k + 1)} if starts else set()
+    return out
+
+
 def brute_lines(rows, least):
-    """Every pair that line_dedup pairs, aligned one by one."""
-    lines = {i: [(n, s.strip(" ")) for n, s in enumerate(t.split("\n")) if s.strip(" ")] for i, t in rows if i is not None and t is not None}
+    """Every pair that line_dedup pairs, by strings, aligned one by one."""
+    lines = {i: [(n, s.strip()) for n, s in enumerate(t.split("\n")) if s.strip()] for i, t in rows if i is not None and t is not None}
+    counts = {i: [len(s.split()) for _, s in ls] for i, ls in lines.items()}
+    items = {i: {tuple(s for _, s in lines[i][a:b]) for a, b in line_items(counts[i], least)} for i in lines}
     held = {}
-    for i, ls in lines.items():
-        for s in {s for _, s in ls}:
-            held.setdefault(s, set()).add(i)
+    for i, own in items.items():
+        for x in own:
+            held.setdefault(x, set()).add(i)
     gone = {}
     for i in lines:
         partners = set()
-        for s in {s for _, s in lines[i]}:
-            before = {j for j in held[s] if j < i}
+        for x in items[i]:
+            before = {j for j in held[x] if j < i}
             if before:
-                partners |= before if len(held[s]) <= line_dedup.RARE else {min(held[s])}
+                partners |= before if len(held[x]) <= line_dedup.RARE else {min(held[x])}
         for j in partners:
-            counts = [len(s.split()) for _, s in lines[i]]
-            for k in line_dedup.common_blocks([s for _, s in lines[j]], [s for _, s in lines[i]], counts, least):
+            for k in line_dedup.common_blocks([s for _, s in lines[j]], [s for _, s in lines[i]], counts[i], least):
                 gone.setdefault(i, set()).add(lines[i][k][0])
     return {i: "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone.get(i, ())) if t is not None else None for i, t in rows}
 
@@ -297,9 +310,45 @@ def test_line_dedup_keeps_clean_and_odd_rows(spark):
     odd = [(None, line), (None, line), (4, line), (4, line), (1, line)]
     got = sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in line_dedup.remove_lines(frame(spark, odd)).collect())
     assert got == [("1", line, 0), ("4", "", 1), ("4", "", 1), ("None", line, 0), ("None", line, 0)]
+    # Rows of one id and different texts: each by its own text.
+    odd = [(1, "Z\nfoo"), (2, "Z\nbar"), (2, f"precious unique first line of another text\n{line}\nmore"), (2, f"{line}\nends"), (1, line)]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.remove_lines(frame(spark, odd)).collect())
+    assert got == [(1, "Z\nfoo", 0), (1, line, 0), (2, "Z\nbar", 0), (2, "ends", 1), (2, "precious unique first line of another text\nmore", 1)]
+    # White space at the ends of lines does not count.
+    ends = [(1, f"{line}\nx"), (2, f"\t{line} \r\ny\r"), (3, f"{line}\x0b\n\x0c")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.remove_lines(frame(spark, ends)).collect())
+    assert got == [(1, f"{line}\nx", 0), (2, "y\r", 1), (3, "\x0c", 1)]
     assert line_dedup.remove_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_in_one_order_equal_all_pairs(spark):
+    """Where shared blocks stand in one order everywhere, every common run of enough words goes; nothing of line_dedup is used."""
+    rng = random.Random(19)
+    blocks = [[f"b{k} " + " ".join(words(rng.randrange(0, 5), rng)) + f" {n}" for n in range(rng.randrange(1, 7))] for k in range(25)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for k in sorted(rng.sample(range(25), rng.randrange(0, 6))):
+            at = rng.randrange(len(blocks[k]))
+            lines += [f"own {i} {k}"] + (blocks[k] if rng.random() < 0.7 else blocks[k][at:])
+        rows.append((i, "\n".join(lines)))
+    want = {}
+    for i, t in rows:
+        b, gone = t.split("\n"), set()
+        for j, u in rows:
+            a = u.split("\n")
+            for p in range(len(a) if j < i else 0):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in b[q : q + n]) >= 8:
+                        gone.update(range(q, q + n))
+        want[i] = "\n".join(x for k, x in enumerate(b) if k not in gone)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(frame(spark, rows)).collect()}
+    assert got == want and sum(want[i] != t for i, t in rows) > 20
+
+
 def test_block_of_frequent_lines(spark):
     """A block is removed although each of its lines has an earlier holder; the result is that of all pairs aligned."""
     block = [f"line {VOCABULARY[k]} of the block" for k in range(10)]
