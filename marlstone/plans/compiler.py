@@ -16,9 +16,14 @@ from ..functions.dates import truncated
 from ..functions.predicates import COMPARE, check, columns_of, intent_column, named
 from ..model import SHAPES as SHAPE_TYPES
 from ..model import FilterError, Intent, IntentError, Metric, Source
+from ..operators.selection import at_ranks, selectable
 from ..operators.shapes import SHAPES
+from ..operators.sizes import planned_bytes
 from ..operators.windows import period_over_period, rolling
 
+#: Percentiles of inputs of more bytes are selected in three passes; Spark's own keeps a group's distinct values in one task.
+PERCENTILE_BYTES = 1 << 30
+
 
 def validate(intent: Intent, source: Source, metrics: Mapping[str, Metric], visible_columns: frozenset[str], visible_dims: frozenset[str]) -> None:
     """Raises IntentError for anything that the role cannot see or that does not fit together."""
@@ -125,6 +130,26 @@ def _ordered(df: DataFrame, intent: Intent) -> DataFrame:
     return df.orderBy(*keys, *[named(d.id).asc_nulls_last() for d in intent.dimensions if d.id not in used])
 
 
+def _value(metric: Metric) -> Column:
+    value = named(metric.column)
+    return (F.when(F.expr(metric.filter), value) if metric.filter else value).alias("_value")
+
+
+def _with_percentile(out: DataFrame, rows: DataFrame, dims: list[str], metric: Metric) -> DataFrame:
+    """`out` with an exact percentile, interpolated between two order statistics that are selected without ordering a group."""
+    p = 0.5 if metric.type == "median" else metric.p
+    place = lambda n: (n - 1) * F.lit(float(p))
+    found = at_ranks(rows.where("_value IS NOT NULL"), dims, "_value", p, lambda n: [F.floor(place(n)), F.ceil(place(n))], ("_low", "_high"))
+    up = place(F.col("n")) - F.floor(place(F.col("n")))
+    value = F.when(up == 0, F.col("_low").cast("double")).otherwise((1 - up) * F.col("_low") + up * F.col("_high"))
+    keys = [f"_d{i}" for i in range(len(dims))]
+    found = found.select(*[named(d).alias(k) for d, k in zip(dims, keys, strict=True)], F.lit(1).alias("_one"), value.alias(metric.id))
+    on = F.col("_one") == F.lit(1)
+    for d, k in zip(dims, keys, strict=True):
+        on = on & named(d).eqNullSafe(F.col(k))
+    return out.join(found if dims else F.broadcast(found), on, "left").drop("_one", *keys)
+
+
 def compile_intent(intent: Intent, source: Source, metrics: Mapping[str, Metric], df: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """The DataFrame that answers a validated intent. `runs` is the quality log, which anomaly_query reads."""
     types = {m: metrics[m].type for m in intent.metrics}
@@ -149,8 +174,13 @@ def compile_intent(intent: Intent, source: Source, metrics: Mapping[str, Metric]
     base = {m: metrics[m].base_metric for m, t in types.items() if t == "period_over_period"}
     plain = {m: metric_sql(m, metrics) for m in types if m not in base}
     hidden = {f"_base_{m}": metric_sql(b, metrics) for m, b in base.items()}
-    aggs = [F.expr(sql).alias(name) for name, sql in {**plain, **hidden}.items()]
+    size = planned_bytes(df)
+    apart = [m for m in plain if size is not None and size > PERCENTILE_BYTES and metrics[m].type in ("percentile", "median") and selectable(df, metrics[m].column)]
+    aggs = [F.expr(sql).alias(name) for name, sql in {**plain, **hidden}.items() if name not in apart]
+    aggs = aggs or [F.lit(None).alias("_none")]
     out = df.groupBy(*dims).agg(*aggs) if dims else df.agg(*aggs)
+    for m in apart:
+        out = _with_percentile(out, df.select(*dims, _value(metrics[m])), [d.id for d in intent.dimensions], metrics[m])
     for m in base:
         others = [d.id for d in intent.dimensions if d.id != metrics[m].period_dim]
         out = out.withColumn(m, period_over_period(out, f"_base_{m}", metrics[m].period_dim, others, metrics[m].comparison))

@@ -57,6 +57,25 @@ def test_rolling_window(engine):
     assert sorted(x[0] for x in r.rows) == [100.0, 100.0, 100.0, 300.0, 400.0, 400.0, 400.0]
 
 
+def test_percentiles_of_large_inputs(spark, monkeypatch, tmp_path):
+    """The selected percentile equals Spark's own, by group and overall, filtered, with nulls and groups without a value."""
+    from marlstone.plans import compiler
+
+    raw = catalog("percentile_rows")
+    raw["metrics"].append({"id": "paid_p30", "source": "orders", "type": "percentile", "column": "amount", "p": 0.3, "filter": "status = 'paid'"})
+    rows = [(str(i), None if i % 9 == 0 else float(i * i % 101), NOW, "paid" if i % 3 else "open", [None, "a", "b", "c"][i % 4], None) for i in range(200)] + [("x", None, NOW, "paid", "empty", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "rows"))
+    spark.read.parquet(str(tmp_path / "rows")).createOrReplaceTempView("percentile_rows")
+    e = Engine(spark, raw, result_cache=False)
+    asked = [(["p95_amount", "median_amount", "order_count", "paid_p30"], ["orders.region"]), (["median_amount"], ["orders.region", "orders.status"]), (["p95_amount", "paid_p30"], [])]
+    want = [sorted(map(repr, ask(e, m, d).rows)) for m, d in asked]
+    calls = []
+    monkeypatch.setattr(compiler, "PERCENTILE_BYTES", 0)
+    monkeypatch.setattr(compiler, "at_ranks", lambda *a, f=compiler.at_ranks: calls.append(a) or f(*a))
+    assert [sorted(map(repr, ask(e, m, d).rows)) for m, d in asked] == want
+    assert len(calls) == 6
+
+
 def test_having_order_limit(engine):
     r = ask(engine, ["order_count"], ["orders.status"], having=[{"op": "gte", "metric": "order_count", "value": 2}], order_by=[{"key": "order_count", "direction": "desc"}], limit=1)
     assert r.rows == [("paid", 4)]
