@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +142,16 @@ for _kind, (_id, _sql) in _AGGS.items():
     intent(f"agg_{_kind}", "orders", f"SELECT o_orderpriority AS priority, {_sql} AS {_id} FROM orders GROUP BY 1", [_id], ["priority"])
 intent("agg_mode", "orders", "SELECT status, usual_customer FROM (SELECT o_orderstatus AS status, o_custkey AS usual_customer, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_custkey) AS n FROM orders GROUP BY 1, 2) WHERE n = 1", ["usual_customer"], ["status"])
 intent("agg_weighted_avg", "lineitem", "SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 4) AS weighted_price FROM lineitem GROUP BY 1, 2", ["weighted_price"], ["returnflag", "linestatus"])
-intent("agg_count_distinct_approx", "orders", None, ["approx_customers"], ["status"])
+
+
+def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether approximate distinct counts are within three standard errors (15 %) of exact ones."""
+    e = engine(spark, sf_dir)
+    found = e.plan(resolve_identity(e.catalog, "u", "admin"), {"source": "orders", "metrics": ["approx_customers", "unique_customers"], "dimensions": ["status"]}).df
+    return found.select("status", (F.abs(F.col("approx_customers") - F.col("unique_customers")) <= 0.15 * F.col("unique_customers")).alias("is_close"))
+
+
+put("agg_count_distinct_approx", _approx, "SELECT DISTINCT o_orderstatus AS status, true AS is_close FROM orders")
 intent("agg_global", "orders", "SELECT count(*) AS order_count, round(median(o_totalprice), 4) AS median_amount, count(DISTINCT o_custkey) AS unique_customers FROM orders", ["order_count", "median_amount", "unique_customers"])
 intent("agg_filter_isolation", "orders", "SELECT o_orderpriority AS priority, count(*) AS order_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS paid_count, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS paid_revenue, round(sum(o_totalprice), 4) AS gross_revenue FROM orders GROUP BY 1", ["order_count", "paid_count", "paid_revenue", "gross_revenue"], ["priority"])
 intent("agg_net_revenue_by_month", "lineitem", "SELECT l_returnflag AS returnflag, date_trunc('month', l_shipdate)::TIMESTAMP AS shipdate, count(*) AS line_count, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net_revenue FROM lineitem GROUP BY 1, 2", ["line_count", "net_revenue"], ["returnflag", {"id": "shipdate", "grain": "month"}])
@@ -419,6 +428,165 @@ for _name, _question, _text in [
     _ask(f"nl_{_name}", _question, _text)
 
 
+def _nl_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two values of two dimensions in one question."""
+    from .plans.nl import understand
+
+    e = engine(spark, sf_dir)
+    who = resolve_identity(e.catalog, "u", "admin")
+    e.examples["lineitem"] = {"l_returnflag": ("A", "N", "R"), "l_linestatus": ("F", "O")}
+    return e.plan(who, understand("line count for R and F", e.schema(who, "lineitem"), date(1998, 5, 20)).intent).df
+
+
+put("nl_filter_compound", _nl_compound, "SELECT count(*) AS line_count FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
+
+
+# State, drift, outputs and what is refused
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from .sources.folders import shared_path
+
+    return f"{shared_path(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _nl_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about anomalies, from a quality log that another process left in the engine's folder."""
+    from .plans.nl import understand
+
+    folder = _folder(spark, "runs")
+    _runs(spark, sf_dir).write.parquet(f"{folder}/quality_runs/rows")
+    e = Engine(spark, catalog(sf_dir), folder)
+    who = resolve_identity(e.catalog, "u", "admin")
+    return e.plan(who, understand("anomalies in revenue", e.schema(who, "orders")).intent).df
+
+
+put("nl_anomalies", _nl_anomalies, ORACLE["anomaly_query"])
+
+
+def _audit_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, an export, a denial and errors of one engine, as a second one reads them from the log."""
+    folder = _folder(spark, "audit")
+    first = Engine(spark, catalog(sf_dir), folder)
+    who = lambda role: resolve_identity(first.catalog, "u", role)
+    first.query(who("admin"), {"source": "orders", "metrics": ["order_count"], "dimensions": ["status"]})
+    first.sql(who("admin"), "SELECT count(*) AS n FROM orders WHERE o_custkey = 12345")
+    first.export(who("admin"), '{"source": "orders", "dimensions": ["priority"]}', f"{folder}/out")
+    first.export(who("nobody"), '{"source": "orders", "dimensions": ["priority"]}', f"{folder}/none")
+    first.sql(who("admin"), "SELECT * FROM orders")
+    log = Engine(spark, catalog(sf_dir), folder).audit.df()
+    return log.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows_out"), F.count_if(F.col("generated_sql").contains("12345")).alias("leaks"))
+
+
+put("audit_reread", _audit_reread, "SELECT 'ok' AS status, 3::BIGINT AS n, (1 + count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority))::BIGINT AS rows_out, 0::BIGINT AS leaks FROM orders UNION ALL SELECT 'denied', 1, 0, 0 UNION ALL SELECT 'error', 1, 0, 0")
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer exported in each format and read again."""
+    folder = _folder(spark, "outputs")
+    e = engine(spark, sf_dir)
+    who, out = resolve_identity(e.catalog, "u", "admin"), None
+    for kind in ("tsv", "csv", "json", "parquet"):
+        e.export(who, '{"source": "orders", "metrics": ["order_count"], "dimensions": ["priority"]}', f"{folder}/{kind}", kind)
+        read = spark.read.schema("priority string, order_count long")
+        df = read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(f"{folder}/{kind}") if kind in ("tsv", "csv") else read.format(kind).load(f"{folder}/{kind}")
+        df = df.select(F.lit(kind).alias("kind"), "priority", "order_count")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+put("outputs", _outputs, "SELECT kind, o_orderpriority AS priority, count(*) AS order_count FROM orders, (VALUES ('tsv'), ('csv'), ('json'), ('parquet')) k(kind) GROUP BY 1, 2")
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declaration that lacks a column, has one too many and has one type wrong, and a source that is not there."""
+    raw = {
+        "sources": [
+            {"id": "regions", "type": "parquet", "uri": f"{sf_dir}/region.parquet", "columns": [{"name": "r_regionkey", "type": "varchar"}, {"name": "r_gone", "type": "bigint"}]},
+            {"id": "nowhere", "type": "parquet", "uri": f"{sf_dir}/nowhere.parquet", "columns": [{"name": "x", "type": "bigint"}]},
+        ]
+    }
+    e = Engine(spark, raw)
+    found = [(d.source, d.kind, d.column) for s in ("regions", "nowhere") for d in e.drift(s) if d.column in (None, "r_regionkey", "r_gone", "r_name")]
+    return spark.createDataFrame(found, "source string, kind string, name string")
+
+
+put("drift", _drift, "SELECT * FROM (VALUES ('regions', 'missing_in_source', 'r_gone'), ('regions', 'missing_in_config', 'r_name'), ('regions', 'type_mismatch', 'r_regionkey'), ('nowhere', 'unreachable', NULL)) t(source, kind, name)")
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example values of public columns with few values."""
+    found = Engine(spark, catalog(sf_dir)).sample_examples("orders")
+    return spark.createDataFrame([(c, v) for c, values in found.items() for v in values], "name string, example string")
+
+
+put("example_values", _examples, "SELECT DISTINCT 'o_orderstatus' AS name, o_orderstatus AS example FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders")
+
+
+def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions as the audit log keeps them."""
+    from .plans import redaction
+
+    hidden = redaction.sensitive_columns(engine(spark, sf_dir).catalog, "orders")
+    texts = ["o_custkey = 17 AND o_orderstatus = 'F'", "o_custkey BETWEEN 17 AND 19", "o_custkey IN (1, 2)", "o_totalprice > 5"]
+    kept = [redaction.redact_sql(f"SELECT count(*) AS n FROM orders WHERE {t}", hidden).split("WHERE ")[1].replace(f"'{redaction.REDACTED}'", "?") for t in texts]
+    return spark.createDataFrame(list(enumerate(kept)), "k int, kept string")
+
+
+put("redaction", _redacted, "SELECT * FROM (VALUES (0, 'o_custkey = ? AND o_orderstatus = ' || chr(39) || 'F' || chr(39)), (1, 'o_custkey BETWEEN ? AND ?'), (2, 'o_custkey IN (?, ?)'), (3, 'o_totalprice > 5')) t(k, kept)")
+
+_REFUSED = [
+    "SELECT * FROM orders",
+    "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders) t",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice IN (SELECT o_totalprice FROM orders)",
+    "SELECT o_orderkey FROM orders UNION SELECT o_orderkey FROM orders",
+    "SELECT 1",
+    "SELECT a.o_orderkey FROM orders a JOIN customer b ON a.o_custkey = b.c_custkey",
+    "WITH a AS (SELECT * FROM orders) SELECT o_orderkey FROM a",
+    "DROP TABLE orders",
+    "SELECT o_orderkey FROM",
+]
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that the gate refuses, and one that it lets through."""
+    e = Engine(spark, catalog(sf_dir))
+    who = resolve_identity(e.catalog, "u", "admin")
+    found = [e.sql(who, t) for t in [*_REFUSED, "SELECT count(o_orderkey) AS n FROM orders"]]
+    return spark.createDataFrame([(k, r.status, r.stage) for k, r in enumerate(found)], "k int, status string, stage string")
+
+
+put("sql_refused", _refused, f"SELECT k::INTEGER AS k, CASE WHEN k < {len(_REFUSED)} THEN 'error' ELSE 'ok' END AS status, CASE WHEN k < {len(_REFUSED)} THEN 'sql_invalid' END AS stage FROM range({len(_REFUSED) + 1}) t(k)")
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a source closed: a rule that never ran, one that failed, one that ran too long ago."""
+    from dataclasses import replace
+
+    rule = engine(spark, sf_dir).catalog.quality_rules["orders_price_not_null"]
+    rules = [replace(rule, id=k) for k in ("never", "failed", "stale", "fine")]
+    runs = [("1", "failed", True, 9), ("2", "failed", False, 10), ("3", "stale", True, 8), ("4", "fine", False, 9), ("5", "fine", True, 11)]
+    log = spark.createDataFrame([(a, b, "quality", c, "{}", datetime(2024, 1, 1, h, 55)) for a, b, c, h in runs], "run_id string, rule_id string, rule_kind string, passed boolean, observed_value string, ran_at timestamp_ntz")
+    found = quality.blocking_failures(log, rules, datetime(2024, 1, 1, 12), spark)
+    return spark.createDataFrame([(f.rule_id, f.reason) for f in found], "rule_id string, reason string")
+
+
+put("blocking_failures", _blocked, "SELECT * FROM (VALUES ('never', 'never_run'), ('failed', 'rule_failed'), ('stale', 'stale_check')) t(rule_id, reason)")
+
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The freshness rule on orders an hour and two days after the newest one, and on an empty source."""
+    e = engine(spark, sf_dir)
+    rule, df = e.catalog.freshness_rules["orders_fresh"], e.registry.load("orders")
+    newest = df.agg(F.max(F.col("o_orderdate").cast("timestamp_ntz"))).first()[0]
+    cases = [(df, timedelta(hours=1)), (df, timedelta(days=2)), (df.where("false"), timedelta(0))]
+    found = [quality.run_checks(d, [rule], newest + age, lambda sql: None, lambda r, n: [])[0] for d, age in cases]
+    return spark.createDataFrame([(k, o.passed, o.observed["value"]) for k, o in enumerate(found)], "k int, passed boolean, age double")
+
+
+put("freshness", _fresh, "SELECT * FROM (VALUES (0, true, 3600.0::DOUBLE), (1, false, 172800.0::DOUBLE), (2, false, NULL)) t(k, passed, age)")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governed monthly revenue with a ratio, a filtered metric, a post-filter and an order."""
     e = engine(spark, sf_dir)
