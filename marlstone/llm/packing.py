@@ -102,18 +102,24 @@ def candidates(ids, doc_ends, ends, inner_step: int = INNER_STEP):
 
 
 def best_cuts(at, cost, length: int = LENGTH) -> list[int]:
-    """The cuts of least total cost, from the first position to the last, by monotone queue."""
+    """The cuts of least total cost, from the first position to the last, by monotone queue and the power-of-two transitions."""
     from collections import deque
 
-    at, cost = at.tolist(), cost.tolist()
+    import numpy as np
+
+    at = np.asarray(at)
     m = len(at)
-    place = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length() - 1) if 1 << k < length]
-    often = powers[-2:]
+    # For each position, the cuts that lie a power of two before it.
+    powers: list = [()] * m
+    for p in (1 << k for k in range((length - 1).bit_length())):
+        k = np.searchsorted(at, at - p)
+        (j,) = np.nonzero(at[k] == at - p)
+        for x, y in zip(j.tolist(), k[j].tolist(), strict=True):
+            powers[x] += (y,)
+    at, cost = at.tolist(), np.asarray(cost, dtype=float).tolist()
     best, back = [0.0] * m, [0] * m
     queue: deque = deque([(0.0, 0)])
     floors = deque([0])
-    end = at[-1]
     for j in range(1, m):
         c = at[j]
         least = c - length
@@ -122,9 +128,8 @@ def best_cuts(at, cost, length: int = LENGTH) -> list[int]:
             queue.popleft()
         value, i = queue[0]
         value += length - c
-        for p in powers if end - c <= 1 else often:
-            k = place.get(c - p)
-            if k is not None and best[k] < value:
+        for k in powers[j]:
+            if best[k] < value:
                 value, i = best[k], k
         value += cost[j]
         best[j], back[j] = value, i
@@ -134,7 +139,7 @@ def best_cuts(at, cost, length: int = LENGTH) -> list[int]:
             floors.pop()
         queue.append((key, j))
         floors.append(c)
-    cuts, j = [end], m - 1
+    cuts, j = [at[-1]], m - 1
     while j:
         j = back[j]
         cuts.append(at[j])
