@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fixture_catalog import ORDERS, SCHEMA, catalog
+from fixture_catalog import RIDES, SCHEMA, catalog
 from marlstone import cli, config
 from marlstone.config import load
 from marlstone.functions.dates import boundary_diff, interval, interval_sql
@@ -26,9 +26,9 @@ from marlstone.sources.sinks import to_csv, to_json, to_tsv
 
 
 @pytest.fixture(scope="module")
-def orders(spark):
-    df = spark.createDataFrame(ORDERS, SCHEMA)
-    df.createOrReplaceTempView("orders_fixture")
+def rides(spark):
+    df = spark.createDataFrame(RIDES, SCHEMA)
+    df.createOrReplaceTempView("rides_fixture")
     return df
 
 
@@ -54,20 +54,20 @@ def sql3(tree, row):
 
 numbers = st.sampled_from([30, 50, 100, 200, 400])
 leaves = st.one_of(
-    st.builds(lambda op, v: {"op": op, "column": "amount", "value": v}, st.sampled_from(["eq", "neq", "lt", "lte", "gt", "gte"]), numbers),
-    st.builds(lambda op, v: {"op": op, "column": "region", "value": v}, st.sampled_from(["in", "not_in"]), st.lists(st.sampled_from(["west", "east", "central"]), min_size=1)),
-    st.builds(lambda op, c: {"op": op, "column": c}, st.sampled_from(["is_null", "is_not_null"]), st.sampled_from(["amount", "region"])),
-    st.builds(lambda a, b: {"op": "between", "column": "amount", "value": [a, b]}, numbers, numbers),
+    st.builds(lambda op, v: {"op": op, "column": "fare", "value": v}, st.sampled_from(["eq", "neq", "lt", "lte", "gt", "gte"]), numbers),
+    st.builds(lambda op, v: {"op": op, "column": "zone", "value": v}, st.sampled_from(["in", "not_in"]), st.lists(st.sampled_from(["north", "south", "harbour"]), min_size=1)),
+    st.builds(lambda op, c: {"op": op, "column": c}, st.sampled_from(["is_null", "is_not_null"]), st.sampled_from(["fare", "zone"])),
+    st.builds(lambda a, b: {"op": "between", "column": "fare", "value": [a, b]}, numbers, numbers),
 )
 trees = st.recursive(leaves, lambda t: st.one_of(st.builds(lambda op, a: {"op": op, "args": a}, st.sampled_from(["and", "or"]), st.lists(t, min_size=1, max_size=3)), st.builds(lambda a: {"op": "not", "args": [a]}, t)), max_leaves=6)
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(tree=trees)
-def test_filters_agree_with_three_valued_logic(orders, tree):
-    got = {r["order_id"] for r in orders.where(intent_column(tree, frozenset(orders.columns))).collect()}
-    names = orders.columns
-    assert got == {r[0] for r in ORDERS if sql3(tree, dict(zip(names, r, strict=True))) is True}
+def test_filters_agree_with_three_valued_logic(rides, tree):
+    got = {r["ride_id"] for r in rides.where(intent_column(tree, frozenset(rides.columns))).collect()}
+    names = rides.columns
+    assert got == {r[0] for r in RIDES if sql3(tree, dict(zip(names, r, strict=True))) is True}
 
 
 @pytest.mark.parametrize("tree", [None, {}, {"op": "and", "args": []}, {"op": "not", "args": [1, 2]}, {"op": "eq", "column": "x", "value": 1}, {"op": "in", "column": "a", "value": []}, {"op": "in", "column": "a", "value": 3}, {"op": "between", "column": "a", "value": [1]}, {"op": "is_null", "column": "a", "value": 1}, {"op": "eq", "column": "a"}, {"op": "eq", "column": "a", "value": 1, "more": 2}, {"op": "eq", "column": "a", "value": [1]}])
@@ -151,20 +151,20 @@ def test_logs_survive_their_process(spark, tmp_path):
 @pytest.mark.parametrize(
     "change",
     [
-        {"metrics": [{"id": "m", "source": "orders", "type": "ratio", "numerator": "m", "denominator": "m"}]},
-        {"metrics": [{"id": "a", "source": "orders", "type": "expression", "expression": "{b}"}, {"id": "b", "source": "orders", "type": "expression", "expression": "{a}"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "sum"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "count", "expression": "amount"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "ratio", "numerator": "m", "denominator": "m"}]},
+        {"metrics": [{"id": "a", "source": "rides", "type": "expression", "expression": "{b}"}, {"id": "b", "source": "rides", "type": "expression", "expression": "{a}"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "sum"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "count", "expression": "fare"}]},
         {"metrics": [{"id": "m", "source": "nope", "type": "count"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "percentile", "column": "amount", "p": 1.0}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "median", "column": "nope"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "count", "typo": 1}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "count", "materialized": ["orders.region"], "materialized_strategy": "incremental"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "ratio", "numerator": "x", "denominator": "y"}]},
-        {"metrics": [{"id": "m", "source": "orders", "type": "funnel", "funnel_entity_column": "customer_email", "funnel_event_order_column": "order_date", "funnel_steps": [{"name": "a", "condition": "true"}]}]},
-        {"quality_rules": [{"id": "r", "source": "orders", "type": "range", "config": {"column": "amount"}, "severity": "warn"}]},
-        {"policies": [{"id": "p", "role": "admin", "source": "orders", "row_filter": {"op": "eq", "column": "nope", "value": 1}}]},
-        {"policies": [{"id": "p", "role": "nobody", "source": "orders"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "percentile", "column": "fare", "p": 1.0}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "median", "column": "nope"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "count", "typo": 1}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "count", "materialized": ["rides.zone"], "materialized_strategy": "incremental"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "ratio", "numerator": "x", "denominator": "y"}]},
+        {"metrics": [{"id": "m", "source": "rides", "type": "funnel", "funnel_entity_column": "rider", "funnel_event_order_column": "started", "funnel_steps": [{"name": "a", "condition": "true"}]}]},
+        {"quality_rules": [{"id": "r", "source": "rides", "type": "range", "config": {"column": "fare"}, "severity": "warn"}]},
+        {"policies": [{"id": "p", "role": "admin", "source": "rides", "row_filter": {"op": "eq", "column": "nope", "value": 1}}]},
+        {"policies": [{"id": "p", "role": "nobody", "source": "rides"}]},
         {"unknown": []},
     ],
 )
@@ -176,30 +176,30 @@ def test_bad_catalogs(change):
 
 def test_versions_and_additive_sync():
     first = load(catalog(), now=datetime(2026, 1, 1))
-    changed = {"metrics": [{"id": "order_count", "source": "orders", "type": "count", "filter": "status = 'paid'", "display_name": "x"}]}
+    changed = {"metrics": [{"id": "ride_count", "source": "rides", "type": "count", "filter": "state = 'done'", "display_name": "x"}]}
     second = load({**changed, "quality_rules": catalog()["quality_rules"]}, first, datetime(2026, 2, 1))
-    assert [v.version for v in second.versions["order_count"]] == [1, 2]
-    assert second.versions["order_count"][0].effective_to == datetime(2026, 2, 1)
-    assert len(second.versions["max_amount"]) == 1 and second.freshness_rules == {} and "max_amount" in second.metrics
+    assert [v.version for v in second.versions["ride_count"]] == [1, 2]
+    assert second.versions["ride_count"][0].effective_to == datetime(2026, 2, 1)
+    assert len(second.versions["max_fare"]) == 1 and second.freshness_rules == {} and "max_fare" in second.metrics
 
 
 @pytest.mark.parametrize(
     "text, error",
     [
-        ("SELECT * FROM orders", "\\*"),
-        ("SELECT o.* FROM orders o", "\\*"),
-        ("SELECT order_id FROM (SELECT order_id FROM orders) t", "subquer"),
-        ("SELECT order_id FROM orders WHERE amount IN (SELECT amount FROM orders)", "subquer"),
-        ("SELECT order_id FROM orders WHERE EXISTS (SELECT 1 FROM orders)", "subquer"),
-        ("SELECT order_id FROM orders UNION SELECT order_id FROM orders", "UNION"),
+        ("SELECT * FROM rides", "\\*"),
+        ("SELECT o.* FROM rides o", "\\*"),
+        ("SELECT ride_id FROM (SELECT ride_id FROM rides) t", "subquer"),
+        ("SELECT ride_id FROM rides WHERE fare IN (SELECT fare FROM rides)", "subquer"),
+        ("SELECT ride_id FROM rides WHERE EXISTS (SELECT 1 FROM rides)", "subquer"),
+        ("SELECT ride_id FROM rides UNION SELECT ride_id FROM rides", "UNION"),
         ("SELECT 1", "FROM"),
-        ("SELECT a.order_id FROM orders a JOIN customers b ON a.order_id = b.id", "one source"),
-        ("WITH a AS (SELECT * FROM orders) SELECT order_id FROM a", "\\*"),
+        ("SELECT a.ride_id FROM rides a JOIN customers b ON a.ride_id = b.id", "one source"),
+        ("WITH a AS (SELECT * FROM rides) SELECT ride_id FROM a", "\\*"),
         ("SELECT x FROM parquet.`/etc/passwd`", "not a source"),
-        ("DROP TABLE orders", "SELECT"),
-        ("INSERT INTO orders SELECT order_id FROM orders", "SELECT"),
-        ("SELEC order_id", "parse"),
-        ("SELECT order_id FROM orders; SELECT 1 FROM orders", "parse"),
+        ("DROP TABLE rides", "SELECT"),
+        ("INSERT INTO rides SELECT ride_id FROM rides", "SELECT"),
+        ("SELEC ride_id", "parse"),
+        ("SELECT ride_id FROM rides; SELECT 1 FROM rides", "parse"),
     ],
 )
 def test_sql_gate_rejects(spark, text, error):
@@ -207,13 +207,13 @@ def test_sql_gate_rejects(spark, text, error):
         sqlgate.parse(spark, text)
 
 
-def test_sql_gate_columns(spark, orders):
-    text = "WITH a AS (SELECT order_id AS k, amount AS x FROM orders), b AS (SELECT k, x * 2 AS y FROM a WHERE x > 1) SELECT count(*) AS n, max(y) AS m FROM b"
-    assert sqlgate.parse(spark, text) == "orders"
-    assert sqlgate.columns_used(spark, text, "orders", orders.schema) == {"order_id", "amount"}
-    assert sqlgate.columns_used(spark, 'SELECT count(*) AS n FROM orders WHERE "region" = \'west\'', "orders", orders.schema) == {"region"}
+def test_sql_gate_columns(spark, rides):
+    text = "WITH a AS (SELECT ride_id AS k, fare AS x FROM rides), b AS (SELECT k, x * 2 AS y FROM a WHERE x > 1) SELECT count(*) AS n, max(y) AS m FROM b"
+    assert sqlgate.parse(spark, text) == "rides"
+    assert sqlgate.columns_used(spark, text, "rides", rides.schema) == {"ride_id", "fare"}
+    assert sqlgate.columns_used(spark, 'SELECT count(*) AS n FROM rides WHERE "zone" = \'west\'', "rides", rides.schema) == {"zone"}
     with pytest.raises(sqlgate.SqlError):
-        sqlgate.columns_used(spark, "SELECT nope FROM orders", "orders", orders.schema)
+        sqlgate.columns_used(spark, "SELECT nope FROM rides", "rides", rides.schema)
 
 
 def test_redaction():
@@ -240,51 +240,51 @@ def test_anomaly_judgement():
     assert not judge_anomaly(100, [1, 2, 3], 2)[0]
 
 
-def test_sources_drift_examples(spark, tmp_path, orders):
+def test_sources_drift_examples(spark, tmp_path, rides):
     path = str(tmp_path / "o.parquet")
-    orders.write.parquet(path)
+    rides.write.parquet(path)
     raw = catalog()["sources"][0] | {"type": "parquet", "uri": path}
     raw["columns"] = [*raw["columns"][:-1], {"name": "gone", "type": "string"}]
-    raw["columns"][1] = {"name": "amount", "type": "bigint"}
+    raw["columns"][1] = {"name": "fare", "type": "bigint"}
     registry = SourceRegistry(spark, load({"sources": [raw | {"dimensions": []}]}).sources)
-    kinds = {(d.kind, d.column) for d in drift(registry, "orders")}
-    assert kinds == {("missing_in_source", "gone"), ("missing_in_config", "customer_email"), ("type_mismatch", "amount")}
-    assert example_values(registry, "orders")["status"] == ("paid", "pending", "refunded")
-    assert registry.version("orders") not in ("missing", "0")
+    kinds = {(d.kind, d.column) for d in drift(registry, "rides")}
+    assert kinds == {("missing_in_source", "gone"), ("missing_in_config", "rider"), ("type_mismatch", "fare")}
+    assert example_values(registry, "rides")["state"] == ("done", "open", "void")
+    assert registry.version("rides") not in ("missing", "0")
     assert SourceRegistry(spark, {"x": Source("x", "parquet", str(tmp_path / "no"))}).version("x") == "missing"
     assert drift(SourceRegistry(spark, {"x": Source("x", "parquet", str(tmp_path / "no"))}), "x")[0].kind == "unreachable"
-    assert isinstance(drift(registry, "orders")[0], Drift)
+    assert isinstance(drift(registry, "rides")[0], Drift)
 
 
-def test_incremental_equals_rebuild(spark, tmp_path, orders):
+def test_incremental_equals_rebuild(spark, tmp_path, rides):
     raw = catalog()
-    raw["metrics"] = [{"id": "stored", "source": "orders", "type": "sum", "expression": "amount", "materialized": ["orders.region"], "materialized_strategy": "incremental", "watermark_column": "order_date", "late_arrival_grace_seconds": 86400}]
+    raw["metrics"] = [{"id": "stored", "source": "rides", "type": "sum", "expression": "fare", "materialized": ["rides.zone"], "materialized_strategy": "incremental", "watermark_column": "started", "late_arrival_grace_seconds": 86400}]
     raw["quality_rules"], raw["freshness_rules"] = [], []
     c = load(raw)
-    m, s = c.metrics["stored"], c.sources["orders"]
+    m, s = c.metrics["stored"], c.sources["rides"]
     store = materialize.MaterializedStore(spark, str(tmp_path))
-    store.refresh(m, s, orders.where("order_date < '2026-03-03'"), datetime(2026, 3, 3))
-    assert store.watermark("stored") == datetime(2026, 3, 2)
-    out = store.refresh(m, s, orders, datetime(2026, 3, 4))
+    store.refresh(m, s, rides.where("started < '2025-07-02'"), datetime(2025, 7, 2))
+    assert store.watermark("stored") == datetime(2025, 7, 1)
+    out = store.refresh(m, s, rides, datetime(2025, 7, 3))
     key = lambda r: str(r)
-    assert sorted(out.collect(), key=key) == sorted(materialize.grouped(orders, m, s).collect(), key=key)
+    assert sorted(out.collect(), key=key) == sorted(materialize.grouped(rides, m, s).collect(), key=key)
     again = materialize.MaterializedStore(spark, str(tmp_path))
-    assert again.watermark("stored") == datetime(2026, 3, 3) and again.read("stored").count() == 4
+    assert again.watermark("stored") == datetime(2025, 7, 2) and again.read("stored").count() == 4
 
 
-def test_stream_refresh(spark, tmp_path, orders):
+def test_stream_refresh(spark, tmp_path, rides):
     from marlstone.streaming.refresh import refresh_on_arrival
 
     path = str(tmp_path / "in")
-    orders.write.parquet(path)
+    rides.write.parquet(path)
     raw = catalog()
-    raw["metrics"] = [{"id": "stored", "source": "orders", "type": "count", "materialized": ["orders.status"]}]
+    raw["metrics"] = [{"id": "stored", "source": "rides", "type": "count", "materialized": ["rides.state"]}]
     raw["quality_rules"], raw["freshness_rules"] = [], []
     c = load(raw)
     store = materialize.MaterializedStore(spark, str(tmp_path / "store"))
-    q = refresh_on_arrival(spark.readStream.schema(orders.schema).parquet(path), c.metrics["stored"], c.sources["orders"], store, lambda: spark.read.parquet(path), str(tmp_path / "ck"))
+    q = refresh_on_arrival(spark.readStream.schema(rides.schema).parquet(path), c.metrics["stored"], c.sources["rides"], store, lambda: spark.read.parquet(path), str(tmp_path / "ck"))
     q.awaitTermination(60)
-    assert {tuple(r) for r in store.read("stored").collect()} == {("paid", 4), ("pending", 2), ("refunded", 1)}
+    assert {tuple(r) for r in store.read("stored").collect()} == {("done", 4), ("open", 3), ("void", 1)}
 
 
 def test_identities():
@@ -294,14 +294,14 @@ def test_identities():
 
     c = load(catalog())
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
-    body = f"{part({'alg': 'HS256'})}.{part({'sub': 'u', 'role': 'west', 'exp': 100})}"
+    body = f"{part({'alg': 'HS256'})}.{part({'sub': 'u', 'role': 'north', 'exp': 100})}"
     token = body + "." + base64.urlsafe_b64encode(hmac.new(b"k", body.encode(), hashlib.sha256).digest()).rstrip(b"=").decode()
-    assert identity_from_jwt(c, token, b"k", now=50).attributes == {"region": "west"}
+    assert identity_from_jwt(c, token, b"k", now=50).attributes == {"zone": "north"}
     for bad in (lambda: identity_from_jwt(c, token, b"other", now=50), lambda: identity_from_jwt(c, token, b"k", now=200), lambda: identity_from_jwt(c, "x", b"k")):
         with pytest.raises(Exception, match="token"):
             bad()
-    env = {"MARLSTONE_USER": "u", "MARLSTONE_ROLE": "west", "MARLSTONE_ATTR_REGION": "east"}
-    assert identity_from_env(c, env=env).attributes == {"region": "east"}
+    env = {"MARLSTONE_USER": "u", "MARLSTONE_ROLE": "north", "MARLSTONE_ATTR_ZONE": "south"}
+    assert identity_from_env(c, env=env).attributes == {"zone": "south"}
 
 
 def test_approvals(tmp_path, capsys):
@@ -318,13 +318,13 @@ def test_approvals(tmp_path, capsys):
     assert run("approvals") == 0 and run("approve", key) == 0 and run("approve", key) == 3
 
 
-def test_file_sources(spark, tmp_path, orders):
+def test_file_sources(spark, tmp_path, rides):
     for kind in ("json", "orc"):
         path = str(tmp_path / kind)
-        orders.select("order_id", "amount").write.format(kind).save(path)
-        c = load({"sources": [{"id": "s", "type": kind, "uri": path}, {"id": "t", "type": "duckdb_table", "uri": "orders_fixture"}]})
+        rides.select("ride_id", "fare").write.format(kind).save(path)
+        c = load({"sources": [{"id": "s", "type": kind, "uri": path}, {"id": "t", "type": "duckdb_table", "uri": "rides_fixture"}]})
         registry = SourceRegistry(spark, c.sources)
-        assert registry.load("s").count() == len(ORDERS) and registry.load("t").count() == len(ORDERS)
+        assert registry.load("s").count() == len(RIDES) and registry.load("t").count() == len(RIDES)
 
 
 def test_outputs():
