@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where the session has none."""
+    """The checkpoint folder that the cluster names. A session on one machine may name none and gets a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="marlstone-ckpt-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -25,26 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTING = threading.Lock()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives lost executors.
 
     The shuffle files that lead to the checkpoint are of no more use once it is written, so Spark is told to remove
-    them then, not when the driver happens to collect garbage.
+    them then, not when the driver happens to collect garbage. A DataFrame takes that setting when it is made, so a new one is
+    made while the setting is on; the session has its own again before anything runs.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        # A new DataFrame takes the setting; the one that was given may be older.
-        return df.select("*").checkpoint()
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+    with _SETTING:
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            cleaned = df.select("*")
+        finally:
+            if before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+    return cleaned.checkpoint()
 
 
 def input_bytes(df: DataFrame) -> int:

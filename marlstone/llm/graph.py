@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
+def label(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Component labels of 0..n-1 for edges (i, j): the smallest member."""
+    at = np.arange(n)
+    while True:
+        low = np.minimum(at[i], at[j])
+        before = at.copy()
+        np.minimum.at(at, i, low)
+        np.minimum.at(at, j, low)
+        at = at[at]
+        if (at == before).all():
+            return at
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that occurs in an edge; component is the smallest id reachable.
 

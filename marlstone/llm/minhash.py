@@ -11,7 +11,8 @@ pairs are enumerated: each member meets the bucket's smallest member and the one
 bucket. Proposals whose samples agree too little are dropped, the rest are verified on whole texts by exact weighted
 Jaccard. Links make components; buckets that still hold several components propose again, between components, until
 no new link is found. Then every pair of a bucket that lies in two components is compared: a bucket is cut into slices, and
-each two slices meet in one block, where sketches are compared in memory and only likely pairs leave it.
+each two slices meet in one block, where sketches are compared in memory. The texts of members of likely pairs come to their blocks
+and are verified there; only spanning edges leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_count, checkpointed
-from .graph import components
+from .graph import components, label
 from .textvec import U64, Runs, Words, groups, mix
 
 SHINGLE = 5
@@ -40,9 +41,9 @@ SKETCH_CHARS = 1 << 19
 #: Partners of one document that are verified in one group.
 PARTNERS = 512
 #: Members of one bucket that make up one slice of the comparison of all pairs.
-SLICE = 1024
-#: Pairs that are verified in one group, about, where there are so many that the number of blocks must grow.
-PAIRS = 200_000
+SLICE = 512
+#: Members of blocks that are verified in one task, about.
+BATCH = 4096
 #: If no more texts than this are needed, their ids are broadcast (a few MB) and only those texts are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -197,28 +198,53 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, blocks: int, similarity: flo
     def run(texts, pairs):
         import pandas as pd
 
-        table = idf.value
-        sets = {}
-        ids, raw = texts["doc_id"].tolist(), texts["text"].tolist()
-        for x, y in groups(raw, SKETCH_CHARS):
-            h, weight, first, _, _ = weighted_shingles(raw[x:y], table)
-            for i in range(y - x):
-                p, q = first[i], first[i + 1]
-                sets[ids[x + i]] = (h[p:q], weight[p:q], float(weight[p:q].sum(dtype=np.float64)))
-        kept = []
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
-            if a not in sets or b not in sets:
-                continue
-            (ha, wa, ta), (hb, wb, tb) = sets[a], sets[b]
-            _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-            both = float(np.minimum(wa[i], wb[j]).sum(dtype=np.float64))
-            if both >= similarity * (ta + tb - both) - 1e-9:
-                kept.append((a, b))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+        ids, raw = texts["doc_id"].to_numpy(), texts["text"].tolist()
+        parts = [weighted_shingles(raw[x:y], idf.value)[:3] for x, y in groups(raw, SKETCH_CHARS)]
+        if not parts or not len(pairs):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sizes = np.concatenate([np.diff(p[2]) for p in parts])
+        names, first_row = np.unique(ids, return_index=True)
+        a, b = (np.searchsorted(names, pairs[c].to_numpy()) for c in ("a", "b"))
+        here = (a < len(names)) & (b < len(names))
+        here &= (names[a * here] == pairs["a"].to_numpy()) & (names[b * here] == pairs["b"].to_numpy())
+        linked = similar(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), sizes, first_row[a[here]], first_row[b[here]], similarity)
+        return pairs[["a", "b"]][here][linked]
 
     return texts.groupBy("at").cogroup(dealt.groupBy("block")).applyInPandas(run, "a long, b long")
 
 
+def similar(h: np.ndarray, weight: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts a[k] and b[k] have at least that weighted Jaccard similarity; text i has the next sizes[i] shingles of h.
+
+    Shingles are numbered; a text's weights are laid out by number once, and looked up for all of its partners together.
+    """
+    out = np.zeros(len(a), dtype=bool)
+    if not len(h):
+        return out
+    found, number = np.unique(h, return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    # Sums over the same numbers in the same order wherever a text stands.
+    total = np.array([weight[p:q].sum(dtype=np.float64) for p, q in zip(at, at[1:], strict=False)])
+    order = np.argsort(a, kind="stable")
+    starts = np.flatnonzero(np.diff(a[order], prepend=-1))
+    laid = np.zeros(len(found))
+    for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        k = order[s:e]
+        i = a[k[0]]
+        own = slice(at[i], at[i + 1])
+        laid[number[own]] = weight[own]
+        j = b[k]
+        used = sizes[j] > 0
+        both = np.zeros(len(k))
+        if used.any():
+            spans = [slice(at[x], at[x + 1]) for x in j[used]]
+            least = np.minimum(laid[np.concatenate([number[x] for x in spans])], np.concatenate([weight[x] for x in spans]))
+            both[used] = np.add.reduceat(least, np.concatenate([[0], np.cumsum(sizes[j[used]])[:-1]]))
+        laid[number[own]] = 0.0
+        out[k] = both >= similarity * (total[i] + total[j] - both) - 1e-9
+    return out
+
+
 def _proposals(members: DataFrame) -> DataFrame:
     """(a, b), a < b, from (key, rep): the bucket's smallest with each, and each with the one before it.
 
@@ -268,52 +294,92 @@ def _blocks(named: DataFrame) -> DataFrame:
     return rows.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "rep", "component")
 
 
-def _across(named: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: all likely pairs that share a bucket and lie in two components, each once.
+def _likely_in(component, side, samples, bands, i: int, j: int, key: int):
+    """(u, v): members of one block that are a likely pair of two components; a pair that shares several buckets counts in that of the first band."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    p, q = (np.arange(len(side)),) * 2 if i == j else (np.flatnonzero(side == x) for x in (i, j))
+    for x in range(0, len(p), 256):
+        part = p[x : x + 256]
+        u, v = np.nonzero(component[part][:, None] != component[q][None, :])
+        u, v = part[u], q[v]
+        if i == j:
+            u, v = u[u < v], v[u < v]
+        for y in range(0, len(u), 1 << 15):
+            a, b = u[y : y + (1 << 15)], v[y : y + (1 << 15)]
+            likely = (samples[a] == samples[b]).sum(axis=1) >= LEAST_AGREE
+            a, b = a[likely], b[likely]
+            first = bands[a, (bands[a] == bands[b]).argmax(axis=1)] == key
+            left.append(a[first])
+            right.append(b[first])
+    return np.concatenate(left), np.concatenate(right)
 
-    A pair that shares several buckets is compared in that of the first band.
+
+_MEMBER = ("rep", "component", "at", "samples", "bands")
+
+
+def _across(named: DataFrame, reps: DataFrame, docs: DataFrame, idf, blocks: int, similarity: float) -> DataFrame:
+    """(a, b): edges that connect what the verified pairs of a bucket's components connect; every likely pair is verified.
+
+    Pairs do not leave a task. First the members are named that are in a likely pair at all; then their texts come to the
+    blocks, many small blocks to one task, and what is linked there leaves as spanning edges, fewer than members.
     """
-    rows = _blocks(named).join(reps, "rep")
-    member = F.struct("rep", "component", "at", "samples", "bands")
-    blocks = rows.groupBy("key", "i", "j").agg(F.collect_list(member).alias("m"))
+    grouped = _blocks(named).join(reps, "rep").groupBy("key", "i", "j").agg(F.collect_list(F.struct(*_MEMBER)).alias("m"))
 
-    def run(batches: Iterator) -> Iterator:
+    def partners(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("m"))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            i_, j_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            at = lists.offsets.to_numpy()
-            flat = lists.values
-            rep, component, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "at"))
+            lists = batch.column(3)
+            keys, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at, flat = lists.offsets.to_numpy(), lists.values
+            component, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("component", "at"))
             samples = flat.field("samples").flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES)
             bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, block = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(keys)):
-                lo, hi = at[k], at[k + 1]
-                if i_[k] == j_[k]:
-                    p = q = np.arange(lo, hi)
-                else:
-                    p, q = (lo + np.flatnonzero(side[lo:hi] == x) for x in (i_[k], j_[k]))
-                for x in range(0, len(p), 256):
-                    part = p[x : x + 256]
-                    u, v = np.nonzero(component[part][:, None] != component[q][None, :])
-                    u, v = part[u], q[v]
-                    if i_[k] == j_[k]:
-                        u, v = u[u < v], v[u < v]
-                    for y in range(0, len(u), 1 << 15):
-                        a, b = u[y : y + (1 << 15)], v[y : y + (1 << 15)]
-                        likely = (samples[a] == samples[b]).sum(axis=1) >= LEAST_AGREE
-                        a, b = a[likely], b[likely]
-                        same = bands[a] == bands[b]
-                        first = bands[a, same.argmax(axis=1)] == keys[k]
-                        left.append(rep[a[first]])
-                        right.append(rep[b[first]])
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
+                s = slice(at[k], at[k + 1])
+                u, v = _likely_in(component[s], side[s], samples[s], bands[s], i[k], j[k], keys[k])
+                used = np.unique(np.concatenate([u, v]))
+                rows.append(at[k] + used)
+                block.append(np.full(len(used), k))
+            take, block = pa.array(np.concatenate(rows)), np.concatenate(block)
+            columns = [pa.array(x[block]) for x in (keys, i, j)] + [flat.field(c).take(take) for c in _MEMBER]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "i", "j", *_MEMBER])
+
+    schema = "key long, i int, j int, rep long, component long, at int, samples array<int>, bands array<long>"
+    members = checkpointed(grouped.mapInArrow(partners, schema))
+    total = members.count()
+    if not total:
+        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    needed = checkpointed(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.join(F.broadcast(needed) if total <= BROADCAST_ROWS else needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    batch = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(blocks, -(-total // BATCH)))).cast("int")
+    rows = members.withColumn("batch", batch).join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+
+    def run(frame):
+        import pandas as pd
+
+        names, first, number = np.unique(frame["rep"].to_numpy(), return_index=True, return_inverse=True)
+        raw = frame["text"].iloc[first].tolist()
+        parts = [weighted_shingles(raw[x:y], idf.value)[:3] for x, y in groups(raw, SKETCH_CHARS)]
+        key, i, j, component, side = (frame[c].to_numpy() for c in ("key", "i", "j", "component", "at"))
+        samples, bands = np.stack(frame["samples"].to_numpy()), np.stack(frame["bands"].to_numpy())
+        order = np.lexsort((j, i, key))
+        new = np.flatnonzero((np.diff(key[order], prepend=~key[order[:1]]) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0))
+        left, right = [], []
+        for s, e in zip(new, np.append(new[1:], len(order)), strict=True):
+            own = order[s:e]
+            k = own[0]
+            u, v = _likely_in(component[own], side[own], samples[own], bands[own], i[k], j[k], key[k])
+            left.append(number[own[u]])
+            right.append(number[own[v]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        linked = similar(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.diff(p[2]) for p in parts]), a, b, similarity)
+        to = label(a[linked], b[linked], len(names))
+        used = np.flatnonzero(to != np.arange(len(names)))
+        return pd.DataFrame({"a": names[to[used]], "b": names[used]})
+
+    return rows.groupBy("batch").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -347,10 +413,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if found.isEmpty():
             break
         edges = edges.unionByName(found)
-    rest = checkpointed(_across(named, reps).join(tested, ["a", "b"], "left_anti"))
-    count = rest.count()
-    if count:
-        edges = edges.unionByName(checkpointed(_verify(rest, base, idf, max(blocks, -(-count // PAIRS)), similarity)))
+    rest = checkpointed(_across(named, reps, base, idf, blocks, similarity))
+    if not rest.isEmpty():
+        edges = edges.unionByName(rest)
         labels = components(edges)
     classes = member.join(labels, member["rep"] == labels["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     known = sketches.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "class_id")

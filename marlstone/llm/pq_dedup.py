@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import ivf
 from .ann import cosines
 from .common import checkpointed
-from .graph import components
+from .graph import components, label
 
 COSINE = 0.95
 SUBSPACES = 8
@@ -107,19 +107,6 @@ class Index:
         return own, np.concatenate(rows), np.concatenate(groups)
 
 
-def label(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Component labels of 0..n-1 for edges (i, j): the smallest member."""
-    at = np.arange(n)
-    while True:
-        low = np.minimum(at[i], at[j])
-        before = at.copy()
-        np.minimum.at(at, i, low)
-        np.minimum.at(at, j, low)
-        at = at[at]
-        if (at == before).all():
-            return at
-
-
 def meet(index: Index, cosine: float, qid, qlist, qtimes, w, yid, ylist, ytimes, v):
     """(id, n, to) from probing vectors w and members v of one group: links counted on both sides, and spanning edges."""
     uw, uv = ivf.unit(w), ivf.unit(v)
