@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are mapped to symbols by five transducers: insult (a weighted lexicon of word beginnings, learned from labels), threat, target,
-negation and reported speech (short word lists). Each of the last four is a small weighted machine over symbols; their
+negation and reported speech (short word lists in English, German, French and Spanish). Each of the last four is a small weighted machine over symbols; their
 product is one machine that reads a clause and weighs each insult or threat by the states at hand: a target nearby
-raises it, negation or reported speech before it lowers it. Only clauses with a match are read; a document's clause
-scores become three features, and a logistic curve fitted to the labels turns them into a score.
+raises it, negation or reported speech before it lowers it. Only clauses with a match are read, each whole, however long; a
+document's clause scores become three features, and a logistic curve fitted to the labels turns them into a score.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -29,12 +30,37 @@ LEAST_SHARE = 0.6
 Z = 1.64
 THRESHOLD = 0.3
 
-# Words of each class. Insults without labels weigh SEED_WEIGHT.
-INSULTS = "clown disgusting dumb fool idiot loser moron pathetic scum stupid trash vermin worthless".split()
-THREATS = "beat crush destroy hang hurt kill punch shoot smash stab strangle".split()
-TARGETS = "he her him his she them their they u ur you your yours".split()
-NEGATIONS = "ain't aren't cannot can't don't hardly isn't neither never no nobody nor not wasn't without".split()
-REPORTS = "accused alleged called claimed claims quote quoted quotes reported reports said says told wrote".split()
+# Words of each class, by language. Insults without labels weigh SEED_WEIGHT.
+INSULTS = (
+    "clown disgusting dumb fool idiot loser moron pathetic scum stupid trash vermin worthless "
+    "abschaum blödmann dumm dummkopf ekelhaft idiotin trottel versager "
+    "abruti connard crétin débile imbécile minable ordure "
+    "basura cretino escoria estúpido idiota imbécil inútil patético"
+).split()
+THREATS = (
+    "beat crush destroy hang hurt kill punch shoot smash stab strangle "
+    "erschießen erstechen töten umbringen verprügeln vernichten zerstören "
+    "détruire frapper pendre poignarder tuer étrangler "
+    "apuñalar destruir golpear matar"
+).split()
+TARGETS = (
+    "he her him his she them their they u ur you your yours "
+    "dein deine dich dir du euch euer ihm ihn ihr "
+    "elles ils leur lui te toi tu votre vous "
+    "ellas ellos os ti usted ustedes vosotros"
+).split()
+NEGATIONS = (
+    "ain't aren't cannot can't don't hardly isn't neither never no nobody nor not wasn't without "
+    "kaum kein keine keinen nicht nie niemals niemand ohne "
+    "aucun aucune jamais ne ni pas personne sans "
+    "jamás nadie ningún ninguna nunca sin tampoco"
+).split()
+REPORTS = (
+    "accused alleged called claimed claims quote quoted quotes reported reports said says told wrote "
+    "behauptet berichtet nannte sagt sagte schrieb zitierte "
+    "affirme cité dit déclaré selon écrit "
+    "afirma citó declaró dijo escribió según"
+).split()
 SEED_WEIGHT = 3.0
 
 # The machines: how many words a state lasts, and the factor while it does.
@@ -119,19 +145,13 @@ class Grammar:
         if not text:
             return 0.0, 0.0, 0.0
         low = text.lower()
-        scores, done = [], -1
-        for stop, n in self.machine.iter(low):
-            start = stop - n + 1
-            if start <= done or (start and low[start - 1].isalpha()):
-                continue
-            begin = max(done, 0)
-            for m in self.edge.finditer(low, max(begin, start - 400), start):
-                begin = m.end()
-            begin = max(begin, start - 400)
-            m = self.edge.search(low, stop, stop + 400)
-            end = m.end() if m else min(len(low), stop + 400)
-            value = self.clause(low[begin:end])
-            done = end - 1
+        starts = [start for start in (stop - n + 1 for stop, n in self.machine.iter(low)) if not start or not low[start - 1].isalpha()]
+        if not starts:
+            return 0.0, 0.0, 0.0
+        bounds = [0, *(m.end() for m in self.edge.finditer(low)), len(low)]
+        scores = []
+        for k in sorted({bisect_right(bounds, start, 0, len(bounds) - 1) for start in starts}):
+            value = self.clause(low[bounds[k - 1] : bounds[k]])
             if value > 0:
                 scores.append(value)
         if not scores:
