@@ -2,8 +2,9 @@
 
 Model: for each language a smoothed distribution over hashed byte trigrams of words, counted on labelled texts. A document is a
 mixture: each word comes from language l with probability pi_l, and its likelihood is the product of its trigrams'.
-Expectation-maximisation estimates pi over all words of the document. Which languages are in the mixture is chosen by
-penalised likelihood: for the k leading languages, log likelihood less k/2 * log(words) * penalty.
+Expectation-maximisation estimates pi over all words of the document. Which languages are in the mixture, and how many, is
+chosen by penalised likelihood: for the k leading languages, log likelihood less k/2 * log(words) * penalty, for every k that
+can still be better.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from .textvec import GROUP_CHARS, Words, groups
 BUCKETS = 1 << 16
 #: Expected number of training documents for each language; a bounded sample, chosen by a hash of the id.
 TRAIN_DOCS_PER_LANGUAGE = 2000
-#: The model has the most frequent languages of the labels, at most so many; its table is 256 KB for each.
-MAX_LANGUAGES = 256
-MAX_IN_MIXTURE = 3
+#: Texts are judged in smaller groups where there are more languages than this, since memory is words times languages.
+FEW_LANGUAGES = 16
 ITERATIONS = 12
 PENALTY = 4.0
 UNKNOWN = "und"
@@ -50,7 +50,7 @@ def _segment_sum(values, first):
     return total[first[1:]] - total[first[:-1]]
 
 
-def mixtures(texts: list, table, penalty: float = PENALTY, iterations: int = ITERATIONS, most: int = MAX_IN_MIXTURE):
+def mixtures(texts: list, table, penalty: float = PENALTY, iterations: int = ITERATIONS):
     """Proportions (texts x languages) of the selected language sets; a row of zeros for a text without words.
 
     table: log probabilities, buckets x languages.
@@ -96,7 +96,7 @@ def mixtures(texts: list, table, penalty: float = PENALTY, iterations: int = ITE
     order = np.argsort(-pi, axis=1, kind="stable")
     # A larger set cannot reach more than the likelihood of all languages together.
     open_ = full - 2 * cost > score
-    for k in range(2, min(most, langs) + 1):
+    for k in range(2, langs + 1):
         rows = np.flatnonzero(open_)
         if not len(rows):
             break
@@ -114,14 +114,14 @@ def mixtures(texts: list, table, penalty: float = PENALTY, iterations: int = ITE
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE, buckets: int = BUCKETS):
     """(language names, log probability table) from the non-null `text` and `lang` of `docs`.
 
-    Per language about `per_language` documents are read (all, if there are fewer), chosen by a hash of doc_id; whole
-    texts are counted. Counts are summed in executors; what reaches the driver is one fixed-size table per language.
+    Every language of the labels is learned. Per language about `per_language` documents are read (all, if there are fewer),
+    chosen by a hash of doc_id; whole texts are counted. Counts are summed in executors; what reaches the driver, and each
+    executor later, is one table of 256 KB for each language.
     """
     import numpy as np
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    found = sorted(found, key=lambda r: r["lang"])
+    found = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     if not found:
         return [], np.zeros((buckets, 0), dtype=np.float32)
     names = [r["lang"] for r in found]
@@ -134,29 +134,32 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS_PER_LANGUAGE, buckets:
     def count(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        sums = np.zeros((len(names), buckets), dtype=np.int64)
         for batch in batches:
             texts, langs = batch["text"].tolist(), batch["lang"].tolist()
             for a, b in groups(texts):
                 grams, first, words = word_grams(texts[a:b])
                 owner = np.repeat(words.owner(), np.diff(first))
-                code = np.array([number[x] for x in langs[a:b]])[owner].astype(np.int64) * buckets + grams
-                sums += np.bincount(code, minlength=sums.size).reshape(sums.shape)
-        used = np.flatnonzero(sums.sum(axis=1))
-        yield pd.DataFrame({"lang": used.astype(np.int32), "counts": [sums[k].astype("<i8").tobytes() for k in used]})
+                code, n = np.unique(np.array([number[x] for x in langs[a:b]])[owner].astype(np.int64) * buckets + grams, return_counts=True)
+                at = np.searchsorted(code // buckets, np.arange(len(names) + 1))
+                used = np.flatnonzero(np.diff(at))
+                pairs = np.stack([code % buckets, n], axis=1).astype("<i8")
+                yield pd.DataFrame({"lang": used.astype(np.int32), "counts": [pairs[at[k] : at[k + 1]].tobytes() for k in used]})
 
     def total(part):
         import pandas as pd
 
-        sums = sum(np.frombuffer(x, dtype="<i8") for x in part["counts"])
+        sums = np.zeros(buckets, dtype="<i8")
+        for x in part["counts"]:
+            pairs = np.frombuffer(x, dtype="<i8").reshape(-1, 2)
+            sums[pairs[:, 0]] += pairs[:, 1]
         return pd.DataFrame({"lang": part["lang"].iloc[:1], "counts": [sums.tobytes()]})
 
     schema = "lang int, counts binary"
     tables = sample.mapInPandas(count, schema).groupBy("lang").applyInPandas(total, schema).collect()
-    sums = np.zeros((buckets, len(names)))
+    sums = np.zeros((buckets, len(names)), dtype=np.float32)
     for r in tables:
         sums[:, r["lang"]] = np.frombuffer(r["counts"], dtype="<i8")
-    table = np.log((sums + 0.5) / (sums.sum(axis=0) + 0.5 * buckets))
+    table = np.log((sums + 0.5) / (sums.sum(axis=0, dtype=np.float64) + 0.5 * buckets))
     return names, table.astype(np.float32)
 
 
@@ -165,9 +168,11 @@ def identify(docs: DataFrame, names: list, table, carry: tuple = ("doc_id",), gr
 
     lang_pred is the language with the largest share of the document's words, ties to the first by name; score is that share. A text
     that is null or has no letter is `und` with score 0, as is every text if nothing was learned. Every row is judged
-    by itself, so repeated rows agree. Whole texts are read. An empty table gives no rows.
+    by itself, so repeated rows agree. Whole texts are read. An empty table gives no rows. Memory is that of the longest
+    text's words times the number of languages.
     """
     spark = docs.sparkSession
+    group_chars = max(1, group_chars * FEW_LANGUAGES // max(FEW_LANGUAGES, len(names)))
     model = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator) -> Iterator:
