@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
-        if current.isEmpty() and not sc.master.startswith("local["):
+        if current.isEmpty() and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="marlstone-ckpt-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
