@@ -10,6 +10,6 @@ from pyspark.sql import SparkSession
 def shared_path(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A session on one machine may name none and gets a temporary one; on a cluster that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="marlstone-")
