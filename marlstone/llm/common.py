@@ -35,8 +35,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives lost executors.
 
     The shuffle files that lead to the checkpoint are of no more use once it is written, so Spark is told to remove
-    them then, not when the driver happens to collect garbage. A DataFrame takes that setting when it is made, so a new one is
-    made while the setting is on; the session has its own again before anything runs.
+    them then, not when the driver happens to collect garbage. The setting belongs to the session, so threads that share
+    one write their checkpoints in turn.
     """
     spark = df.sparkSession
     shared_folder(spark)
@@ -44,13 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         before = spark.conf.get(_CLEANUP, None)
         spark.conf.set(_CLEANUP, "true")
         try:
-            cleaned = df.select("*")
+            # A new DataFrame takes the setting; the one that was given may be older.
+            return df.select("*").checkpoint()
         finally:
             if before is None:
                 spark.conf.unset(_CLEANUP)
             else:
                 spark.conf.set(_CLEANUP, before)
-    return cleaned.checkpoint()
 
 
 def input_bytes(df: DataFrame) -> int:
